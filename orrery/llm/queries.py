@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.llm.leaks import leaks
 from orrery.llm.packing import pack, token_counts
 from orrery.llm.pairs import item_pairs, lifted
+from orrery.llm.spans import shared_pairs, shared_share
 from orrery.llm.terms import marked_terms, normal_term
 from orrery.llm.topn import top_n
 from orrery.operators.packed import CATEGORIES, unpacked
@@ -48,7 +49,15 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_pairs, p8_pack, p9_found)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_pairs(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p10_share(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_share(table(spark, folder, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_pairs, p8_pack, p9_found, p10_found, p10_share)}
 
 _CURRENT = "select distinct m.* from meta_data m join (select id as i, max(loadedat) as t from meta_data group by id) on m.id = i and m.loadedat = t"
 _TERMS = rf"""
