@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.leaks import leaks
+from orrery.llm.names import same_names
 from orrery.llm.packing import pack, token_counts
 from orrery.llm.pairs import item_pairs, lifted
 from orrery.llm.spans import shared_pairs, shared_share
 from orrery.llm.terms import marked_terms, normal_term
 from orrery.llm.topn import top_n
-from orrery.operators.packed import CATEGORIES, unpacked
+from orrery.operators.packed import AUTHORS, CATEGORIES, unpack_rows, unpacked
 from orrery.sources.tables import current_rows, table
 
 
@@ -41,6 +42,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return lifted(p3_pairs(spark, folder)).select(F.col("a").alias("cata"), F.col("b").alias("catb"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    papers = current_rows(table(spark, folder, "meta_data", "id", "authors", "loadedat"), "authors")
+    return same_names(unpack_rows(papers, ["id"], "authors", AUTHORS), "val")
+
+
 def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack(token_counts(table(spark, folder, "documents", "doc_id", "text")))
 
@@ -57,7 +63,7 @@ def p10_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_pairs, p8_pack, p9_found, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_pairs, p6_found, p8_pack, p9_found, p10_found, p10_share)}
 
 _CURRENT = "select distinct m.* from meta_data m join (select id as i, max(loadedat) as t from meta_data group by id) on m.id = i and m.loadedat = t"
 _TERMS = rf"""
