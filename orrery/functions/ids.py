@@ -31,8 +31,10 @@ def id_day(id_: Column) -> Column:
 
 
 def id_date(id_: Column) -> Column:
-    """The day of an identifier; null if it encodes none (month 13 to 16, day 31 of a short month)."""
-    return F.try_make_timestamp(id_year(id_), id_month(id_), id_day(id_), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    """The day of an identifier. A month after the twelfth or a day after the month's last runs on into the next year or month, as the
+    boundary after a month's last day does."""
+    first = F.make_date(id_year(id_).cast("int"), F.lit(1), F.lit(1))
+    return F.date_add(F.add_months(first, (id_month(id_) - 1).cast("int")), (id_day(id_) - 1).cast("int"))
 
 
 def date_id(day: Column, number: Column | int = 0) -> Column:

@@ -96,7 +96,7 @@ def indexed(rows: DataFrame, key: str = "id", name: str = "idx") -> DataFrame:
 
     Rows are dealt into ranges of the key; ranks within a range are shifted by the number of rows in the ranges before.
     """
-    edges_ = rows.select(F.expr(f"percentile_approx({key}, transform(sequence(1, 63), k -> k / 64.0D), 1000)").alias("cuts"))
+    edges_ = rows.select(F.percentile_approx(key, [k / 64 for k in range(1, 64)], 1000).alias("cuts"))
     cuts = edges_.select(F.coalesce("cuts", F.expr("array()")).cast("array<bigint>").alias("__cuts"))
     ranged = rows.join(F.broadcast(cuts)).withColumn("__p", F.aggregate("__cuts", F.lit(0), lambda s, c: s + (F.col(key) > c).cast("int"))).drop("__cuts")
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))

@@ -175,7 +175,7 @@ def rasterise(drawn: DataFrame, pixels: int = TILE_PIXELS) -> DataFrame:
     import struct
     import zlib
 
-    def draw(key, rows):
+    def draw(key: tuple, rows: "pandas.DataFrame"):
         import numpy as np
         import pandas as pd
 
