@@ -114,10 +114,10 @@ def category_dictionary(spark, folder):
     return C.category_dictionary(C.papers(spark, folder, "maincat", where="true"))
 
 
-@query(f"select id, {_DAY.format('id')} as day, (id // 10000000) + 1800 as y, cast(date_diff('day', {_DAY.format('id')}, {_ASOF}) as bigint) as days from papers")
+@query(f"select id, strftime({_DAY.format('id')}, '%Y-%m-%d') as day, (id // 10000000) + 1800 as y, cast(date_diff('day', {_DAY.format('id')}, {_ASOF}) as bigint) as days from papers")
 def id_date_decode(spark, folder):
     rows = C.papers(spark, folder).join(F.broadcast(_as_of(spark, folder)))
-    return rows.select("id", ids.id_date(F.col("id")).alias("day"), ids.id_year(F.col("id")).alias("y"), ids.days_ago(F.col("id"), F.col("asof")).alias("days"))
+    return rows.select("id", F.date_format(ids.id_date(F.col("id")), "yyyy-MM-dd").alias("day"), ids.id_year(F.col("id")).alias("y"), ids.days_ago(F.col("id"), F.col("asof")).alias("days"))
 
 
 @query("select id, id - (id % 15625) as first from papers")
