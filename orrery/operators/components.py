@@ -70,27 +70,31 @@ def colours(components: DataFrame) -> DataFrame:
     return indexed(components.select("component").distinct(), "component", "k").select("component", (F.col("k") + 1).alias("colour"))
 
 
-def transitive_reduction(links: DataFrame, most_hops: int = 32) -> DataFrame:
+def transitive_reduction(links: DataFrame, most_hops: int = 1000) -> DataFrame:
     """(src, dst) of the links that no longer path replaces; links lead to smaller identifiers, others are left out.
 
-    From every source a frontier walks on, hop by hop, through nodes above its smallest target that is still in question; targets met on
-    the way are dropped. Paths of more than ``most_hops`` links raise an error rather than go unseen.
+    From every source a frontier walks on, hop by hop, each node once, no further than above the source's smallest target; a target met after
+    two or more hops is dropped. What is held grows with the pairs of source and node so reached, not with the number of paths.
     """
     pairs = written(links.where("src > dst").select("src", "dst").distinct(), "links")
     low = pairs.groupBy("src").agg(F.min("dst").alias("low"))
-    walk = pairs.join(low, "src").where("dst > low").select("src", F.col("dst").alias("at"), "low")
-    gone = None
-    for hop in range(most_hops):
-        step = walk.join(pairs.select(F.col("src").alias("at"), F.col("dst").alias("next")), "at").where("next >= low").select("src", F.col("next").alias("at"), "low").distinct()
-        step = written(step, "frontier")
+    onward = pairs.select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    front = pairs.join(low, "src").where("dst > low").select("src", F.col("dst").alias("at"), "low")
+    reached = None
+    for _ in range(most_hops):
+        step = front.join(onward, "at").where("next >= low").select("src", F.col("next").alias("at"), "low").distinct()
+        if reached is not None:
+            step = step.join(reached, ["src", "at"], "left_anti")
+        step = written(step, "reached")
         if step.isEmpty():
             break
-        met = step.join(pairs.withColumnRenamed("dst", "at"), ["src", "at"], "left_semi").select("src", F.col("at").alias("dst"))
-        gone = written(met if gone is None else gone.unionByName(met).distinct(), "redundant")
-        walk = step.where("at > low")
+        new = step.select("src", "at")
+        reached = new if reached is None else reached.unionByName(new)
+        # Targets of the source itself have been walked on from in the first round.
+        front = step.where("at > low").join(pairs.withColumnRenamed("dst", "at"), ["src", "at"], "left_anti")
     else:
         raise RuntimeError(f"paths of more than {most_hops} links")
-    return pairs if gone is None else pairs.join(gone, ["src", "dst"], "left_anti")
+    return pairs if reached is None else pairs.join(reached.withColumnRenamed("at", "dst"), ["src", "dst"], "left_anti")
 
 
 def fake_links(rows: DataFrame, components: DataFrame, keywords: DataFrame) -> tuple[DataFrame, DataFrame]:
