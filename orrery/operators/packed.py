@@ -56,7 +56,8 @@ def unpacked(text: Column, packing: Packing) -> Column:
     """An array of structs (val, err), one for each non-empty value in order; null for a null text.
 
     val is trimmed and without enclosing quotes (inside them a doubled quote stands for one); err marks a value
-    that opens with a quote which nothing closes in the right place. Blank items are left out, so an empty or blank
+    that opens with a quote which nothing closes in the right place. Blank items are left out, as are those of commas alone where
+    commas may part, so an empty or blank
     text gives an empty array.
     """
     enclosed = _enclosed(packing)
@@ -80,7 +81,8 @@ def unpacked(text: Column, packing: Packing) -> Column:
         val = F.when(double, F.replace(body, F.lit('""'), F.lit('"'))).when(single, F.replace(body, F.lit("''"), F.lit("'"))).otherwise(x)
         return F.struct(trimmed(val).alias("val"), (x.rlike("^[\"']") & ~double & ~single).alias("err"))
 
-    return F.filter(F.transform(F.transform(parts, trimmed), item), lambda x: x["val"] != "")
+    empty = r"^[\s,]*$" if packing.weak else r"^$"
+    return F.filter(F.transform(F.transform(parts, trimmed), item), lambda x: ~x["val"].rlike(empty))
 
 
 def unpack_rows(df: DataFrame, keys: list[str], column: str, packing: Packing, fieldname: str | None = None) -> DataFrame:

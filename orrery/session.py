@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,15 +40,31 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="orrery-")
         spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+@functools.cache
+def _own_folder(application: str, folder: str) -> str:
+    """This application's part of the shared folder; dropped when Python ends, by Spark if it still runs, else from a local disk."""
+    path = f"{folder}/orrery-{application}"
+
+    def drop() -> None:
+        context = SparkContext._active_spark_context
+        if context is not None and context.applicationId == application:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        else:
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+    atexit.register(drop)
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
     Unlike cached blocks the files survive the loss of an executor, and their size is known to the planner.
     """
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession.sparkContext.applicationId, shared_folder(df.sparkSession))}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

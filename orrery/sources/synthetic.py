@@ -20,7 +20,7 @@ def star(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
 
 def double_star(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
     """Papers 1 and 2, which all others refer to."""
-    links = spark.range(3, n + 1).select(F.col("id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2))).cast("bigint").alias("dst"), F.lit(1).cast("bigint").alias("freq"))
+    links = spark.range(3, n + 1).select(F.col("id").alias("src"), F.explode(F.array(*[F.lit(k).cast("bigint") for k in (1, 2)])).alias("dst"), F.lit(1).cast("bigint").alias("freq"))
     return _papers(spark, n, {k: 0.2 + 0.1 * (n - 2) for k in (1, 2)}), links
 
 
