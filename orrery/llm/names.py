@@ -40,8 +40,8 @@ NICKNAMES = {
 COLLABORATION, ARTICLES, SUFFIXES = re.compile(r"col+ab(?:ora?tion)?|coll"), {"the"}, {"jr", "sr", "ii", "iii", "iv"}
 #: A token in this share of all spellings, and in SOME at least, is common; so at most (tokens of a spelling) / SHARE are.
 SHARE, SOME = 1 / 2000, 3
-#: Characters of a q-gram.
-Q = 2
+#: Characters of a q-gram. Longer ones are rarer, so fewer tokens meet; none that belong together are lost at any length.
+Q = 5
 #: Least soft similarity of two spellings of one name.
 ALIKE = 0.8
 
@@ -167,8 +167,8 @@ def one_error(a: Column, b: Column) -> Column:
         F.struct(F.lit(0).alias("first"), F.lit(0).alias("last")),
         lambda s, i: F.when(F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1)), s).otherwise(F.struct(F.when(s["first"] == 0, i).otherwise(s["first"]).alias("first"), i.alias("last"))),
     )
-    swap = (lev == 2) & (F.length(a) == F.length(b)) & same_letters & ((gap["last"] - gap["first"]) == 1)
-    return (lev == 1) | F.coalesce(swap, F.lit(False))
+    swap = F.when((lev == 2) & (F.length(a) == F.length(b)), same_letters).otherwise(False)
+    return F.when(lev == 1, True).when(swap, (gap["last"] - gap["first"]) == 1).otherwise(False)
 
 
 def _near(a: Column, b: Column) -> Column:

@@ -81,6 +81,9 @@ _CATS = rf"""
     p as (select x.cat as a, y.cat as b, count(*) as n_ab from c x join c y on x.id = y.id and x.cat < y.cat where x.cat <> '' and y.cat <> '' group by x.cat, y.cat),
     f as (select p.a, p.b, n_ab, oa.c as n_a, ob.c as n_b, n.n from p join o oa on oa.cat = p.a join o ob on ob.cat = p.b, n)
 """
+_EVAL_WORDS = r"regexp_extract_all(regexp_replace(replace(replace(replace(lower({0}), chr(64257), 'fi'), chr(64258), 'fl'), chr(64256), 'ff'), '(­\s*\n[\s>]*|­|([a-z0-9])[-‐][ \t\r]*\n[\s>|]*([a-z0-9]))', '\2\3', 'g'), '[\p{{L}}\p{{N}}]+')"
+_RUNS = "select {0} as k, array_to_string(list_slice(w, i, i + 12), ' ') as run from (select {0}, w, unnest(range(1, len(w) - 11)) as i from (select {0}, {1} as w from {2}) where len(w) >= 13)"
+
 ORACLES = {
     "p1_found": f"select keyword, mark from ({_TERMS}) where mark is not null",
     "p1_terms": _TERMS,
@@ -90,4 +93,12 @@ ORACLES = {
         r as (select *, row_number() over (partition by trendrun, maincat order by score desc, id) as k from l where score > -1000000000)
         select trendrun, maincat, id from r where k <= 5""",
     "p3_found": _CATS + "select a as cata, b as catb from f where n_ab >= 3 and cast(n as hugeint) * n_ab >= 3 * cast(n_a as hugeint) * n_b",
+    "p9_found": f"""
+        with d as ({_RUNS.format("doc_id", _EVAL_WORDS.format("text"), "documents")}), e as (select distinct k, run from ({_RUNS.format("item_id", _EVAL_WORDS.format("text"), "eval_items")}))
+        select distinct d.k as doc_id, e.k as item_id from d join e on d.run = e.run""",
+    "p10_found": """
+        with w as (select doc_id, hash(substr(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300)),
+        g as (select h from w group by h having count(distinct doc_id) > 1),
+        m as (select distinct doc_id, h from w where h in (select h from g))
+        select distinct a.doc_id as doca, b.doc_id as docb from m a join m b on a.h = b.h and a.doc_id < b.doc_id""",
 }
