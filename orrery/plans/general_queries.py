@@ -55,7 +55,16 @@ _ORPHANS = r"""
 """
 _CITING = "select pastid, count(distinct futureid) as citing from links where pastid is not null group by pastid"
 
+_NAMES = r"""list_transform(case when regexp_matches(regexp_replace(authors, '"[^"]*"', '', 'g'), '[;|/\t\n\r]') then regexp_split_to_array(authors, '[;|/\t\n\r]')
+    else regexp_extract_all(regexp_replace(authors, '\s*,?\s+(?:and|&)\s+', ',', 'g'), '(?:[^,"]|"(?:[^"]|"")*")+') end, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"""
+
 ORACLES = {
+    "p4_found": rf"""
+        with cur as (select distinct m.id, allcats, authors from meta_data m join (select id as i, max(loadedat) as t from meta_data group by id) on m.id = i and m.loadedat = t),
+        c as (select id, list_filter(list_transform(regexp_split_to_array(allcats, '[,;|/\s]+'), lambda x: trim(x, '"''')), lambda x: x <> '') as l from cur),
+        a as (select id, list_filter(list_transform({_NAMES}, lambda x: case when regexp_matches(x, '^"(?:[^"]|"")*"$') then trim(replace(x[2:-2], '""', '"')) else x end), lambda x: x <> '') as l from cur),
+        b as (select id, 'allcats' as fieldname, l from c union all select id, 'authors', l from a)
+        select id, fieldname, cast(unnest(range(1, len(l) + 1)) as bigint) as slot, unnest(l) as val from b""",
     "p5_found": f"select distinct p.id from pcite p left join ({_CITING}) c on p.id = c.pastid where p.numcites is not null and p.numcites <> coalesce(c.citing, 0)",
     "p5_citing_papers": _CITING,
     "p7_found": _ORPHANS + "select linkid, reffield, kind, period from found where kind is not null",
