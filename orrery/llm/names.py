@@ -72,8 +72,6 @@ def parse_name(text: str, given_names: frozenset[str] | set[str]) -> tuple[str,
         parts: list[str] = []
         for t in tokens:
             f = folded(t)
-            if f in SUFFIXES:
-                continue
             parts += list(f) if len(t) <= 3 and t.isupper() and f not in given_names else [f]
         if not parts:
             return "", "", ""
@@ -85,9 +83,12 @@ def parse_name(text: str, given_names: frozenset[str] | set[str]) -> tuple[str,
 
     if comma and re.search(r"[^\W\d_]", before):
         surname = " ".join(folded(t) for t in re.findall(r"[^\W_]+(?:[-'’][^\W_]+)*", before))
-        return ("p", surname, *given(re.findall(r"[^\W_]+(?:[-'’][^\W_]+)*", after)))
+        rest = re.findall(r"[^\W_]+(?:[-'’][^\W_]+)*", after)
+        return ("p", surname, *given(rest[:1] + [t for t in rest[1:] if folded(t) not in SUFFIXES]))
+    # A suffix stands last, after two or more tokens; elsewhere its letters are initials.
+    if len(raw) > 2 and low[-1] in SUFFIXES:
+        raw, low = raw[:-1], low[:-1]
     long = [k for k, t in enumerate(raw) if len(t) > 2 or (len(t) == 2 and not t.isupper())]
-    long = [k for k in long if low[k] not in SUFFIXES] or long
     if not long:
         return ("p", low[-1], *given(raw[:-1]))
     capitals = [k for k in long if raw[k].isupper() and len(raw[k]) > 2]
@@ -205,12 +206,12 @@ def name_clusters(values: DataFrame, value: str, alike: float = ALIKE) -> DataFr
     names = written(spellings(values, value), "spellings")
     rows = written(parsed(names, common_given_names(names)), "parsed")
 
-    # A short form of two names is read as the one that the surname has.
+    # A short form of two names is read as the likelier one, unless the surname has only the other.
     known = rows.where("other = '' and given <> ''").groupBy("kind", "rare", F.substring("given", 1, 1).alias("i")).agg(F.sum("uses").alias("there"))
     doubtful = rows.where("other <> ''")
     for name in ("given", "other"):
         doubtful = doubtful.withColumn("i", F.substring(name, 1, 1)).join(known.withColumnRenamed("there", f"has_{name}"), ["kind", "rare", "i"], "left").drop("i")
-    turned = F.coalesce("has_other", F.lit(0)) > F.coalesce("has_given", F.lit(0))
+    turned = F.col("has_given").isNull() & F.col("has_other").isNotNull()
     doubtful = doubtful.withColumn("given", F.when(turned, F.col("other")).otherwise(F.col("given")))
     rows = rows.where("other = ''").unionByName(doubtful.select(*rows.columns)).drop("other").withColumn("initial", F.substring("given", 1, 1))
 
