@@ -92,15 +92,17 @@ def keyword_rows(rows: DataFrame, column: str = "keywords") -> DataFrame:
 
 
 def indexed(rows: DataFrame, key: str = "id", name: str = "idx") -> DataFrame:
-    """rows with their place (from 0) in the order of a unique key, without gathering them in one task.
+    """rows with their place (from 0) in the order of a unique key of whole numbers, without gathering them in one task.
 
-    Rows are dealt into ranges of the key; ranks within a range are shifted by the number of rows in the ranges before.
+    Rows are dealt into ranges of the key, as many as there are shuffle partitions (64 at least); ranks within a range are shifted by the
+    number of rows in the ranges before.
     """
-    edges_ = rows.select(F.percentile_approx(key, [k / 64 for k in range(1, 64)], 1000).alias("cuts"))
-    cuts = edges_.select(F.coalesce("cuts", F.expr("array()")).cast("array<bigint>").alias("__cuts"))
-    ranged = rows.join(F.broadcast(cuts)).withColumn("__p", F.aggregate("__cuts", F.lit(0), lambda s, c: s + (F.col(key) > c).cast("int"))).drop("__cuts")
+    parts = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = rows.select(F.percentile_approx(key, [k / parts for k in range(1, parts)], 100 * parts).alias("cuts"))
+    cuts = cuts.select(F.coalesce("cuts", F.array().cast("array<bigint>")).cast("array<bigint>").alias("__cuts"))
+    ranged = rows.join(F.broadcast(cuts)).withColumn("__p", F.size(F.filter("__cuts", lambda c: c < F.col(key)))).drop("__cuts")
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # at most 64 rows
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # one row per range
     rank = F.row_number().over(Window.partitionBy("__p").orderBy(key))
     return ranged.withColumn("__k", rank).join(F.broadcast(before), "__p").withColumn(name, (F.col("__k") + F.col("__before") - 1).cast("bigint")).drop("__p", "__k", "__before")
 
@@ -110,8 +112,10 @@ def best_by(rows: DataFrame, key: list[str], score: str, tie: str, value: str, n
     return rows.groupBy(*key).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t"), F.col(value).alias("v")))["v"].alias(name))
 
 
-def sliding_windows(start: int, stop: int, width: int, step: int) -> Column:
-    """Array of structs (begin, end): windows over identifiers, without those that begin in a month after the twelfth."""
-    begins = F.sequence(F.lit(start).cast("bigint"), F.lit(stop).cast("bigint"), F.lit(step).cast("bigint"))
-    kept = F.filter(begins, lambda b: F.floor((b % 10_000_000) / 625_000) < 12)
-    return F.transform(kept, lambda b: F.struct(b.alias("begin"), (b + width).alias("end")))
+def sliding_windows(id_: Column, start: int, stop: int, width: int, step: int) -> Column:
+    """Array of the begins of the windows (begin to begin + width, both included) that hold an identifier, for windows that begin at start,
+    start + step, ... up to stop, but not in a month after the twelfth. By arithmetic: a row meets width / step windows, not all."""
+    low = F.greatest(F.ceil((id_ - width - start) / F.lit(step)), F.lit(0))
+    high = F.least(F.floor((id_ - start) / F.lit(step)), F.lit((stop - start) // step))
+    begins = F.when(low <= high, F.transform(F.sequence(low, high), lambda k: F.lit(start).cast("bigint") + k * step)).otherwise(F.array().cast("array<bigint>"))
+    return F.filter(begins, lambda b: F.floor((b % 10_000_000) / 625_000) < 12)

@@ -68,3 +68,11 @@ def data_for_ids(requests: DataFrame, papers: DataFrame, links: DataFrame, cites
 def date_boundaries(boundaries: DataFrame, most: int = 5) -> DataFrame:
     """(d0, d1, ...): one row, the boundary of each of the last days."""
     return boundaries.where(F.col("daysago") <= most).agg(*[F.max(F.when(F.col("daysago") == d, F.col("id"))).alias(f"d{d}") for d in range(most + 1)])
+
+
+def explain_paper(papers: DataFrame, links: DataFrame, id_: int) -> DataFrame:
+    """(role, id, title, authors, ord): a paper, then its references in order, then its citations; for a look at the data."""
+    row = papers.where(F.col("id") == id_).select(F.lit("paper").alias("role"), "id", F.lit(0).cast("bigint").alias("ord"))
+    refs = links.where(F.col("src") == id_).select(F.lit("reference").alias("role"), F.col("dst").alias("id"), "ord")
+    cites = links.where(F.col("dst") == id_).select(F.lit("citation").alias("role"), F.col("src").alias("id"), "ord")
+    return row.unionByName(refs).unionByName(cites).join(papers.select("id", "title", "authors"), "id", "left").select("role", "id", "title", "authors", "ord")

@@ -309,9 +309,8 @@ def best_per_keyword(spark, folder):
 
 @query("""select lo as windowstart, count(p.id) as papers from (select unnest(range(1990000000, 2220000000, 2000000)) as lo) w join papers p on p.id between lo and lo + 20000000 where (lo % 10000000) // 625000 < 12 group by lo""")
 def sliding_id_windows(spark, folder):
-    # Windows overlap ten times at most; each paper names the windows that hold it.
-    w = spark.range(1).select(F.inline(C.sliding_windows(1_990_000_000, 2_219_999_999, 20_000_000, 2_000_000)))
-    return C.papers(spark, folder).join(F.broadcast(w), F.col("id").between(F.col("begin"), F.col("end"))).groupBy(F.col("begin").alias("windowstart")).agg(F.count("id").alias("papers"))
+    begins = C.sliding_windows(F.col("id"), 1_990_000_000, 2_219_999_999, 20_000_000, 2_000_000)
+    return C.papers(spark, folder).select("id", F.explode(begins).alias("windowstart")).groupBy("windowstart").agg(F.count("id").alias("papers"))
 
 
 @query("select id, cites from cites order by cites desc, id limit 25")

@@ -9,7 +9,7 @@ from orrery.functions import colours, labels, measures
 from orrery.functions.ids import days_ago
 from orrery.operators import citations as C
 from orrery.operators import tiles as T
-from orrery.plans.catalog_queries import _as_of
+from orrery.plans.catalog_queries import _ASOF, _DAY, _as_of
 from orrery.plans.registry import Registry
 from orrery.sources.tables import table
 
@@ -174,7 +174,8 @@ def grey_colours(spark, folder):
     return _flat(_coloured(spark, folder), colours.grey(colours.category_colour(F.col("col"), F.col("dim"), F.col("age"))))
 
 
-@query()
+@query(_POS + f""", h as (select pos.id, date_diff('day', {_DAY.format('pos.id')}, {_ASOF}) as days from pos join papers on pos.id = papers.id), k as (select id, exp(-pow(days / 1460.0, 2) / 2 - 0.0001 * days) as heat from h)
+    select id, round(0.15 + (1.0 - 0.15) * heat, 6) as r, round(cast(0.15 as double), 6) as g, round(cast(0.25 as double), 6) as b from k""")
 def heat_colours(spark, folder):
     return _flat(_coloured(spark, folder), colours.heat_colour(measures.heat(days_ago(F.col("id"), F.col("asof"))), (0.15, 0.15, 0.25), (1.0, 0.15, 0.25)))
 
