@@ -9,7 +9,7 @@ from orrery.llm.leaks import leaks
 from orrery.llm.names import same_names
 from orrery.llm.packing import pack, token_counts
 from orrery.llm.pairs import item_pairs, lifted
-from orrery.llm.spans import shared_pairs, shared_share
+from orrery.llm.spans import shared_classes, shared_pairs, shared_share
 from orrery.llm.terms import marked_terms, normal_term
 from orrery.llm.topn import top_n
 from orrery.operators.packed import AUTHORS, CATEGORIES, unpack_rows, unpacked
@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     papers = current_rows(table(spark, folder, "meta_data", "id", "allcats", "loadedat"), "allcats")
-    return item_pairs(papers, F.transform(unpacked(F.col("allcats"), CATEGORIES), lambda x: x["val"]))
+    return item_pairs(papers, F.transform(unpacked(F.col("allcats"), CATEGORIES), lambda x: x["val"])).withColumns({c: F.round(c, 9) for c in ("lift", "pmi")})
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +63,11 @@ def p10_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_pairs, p6_found, p8_pack, p9_found, p10_found, p10_share)}
+def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_classes(table(spark, folder, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_pairs, p6_found, p8_pack, p9_found, p10_found, p10_classes, p10_share)}
 
 _CURRENT = "select distinct m.* from meta_data m join (select id as i, max(loadedat) as t from meta_data group by id) on m.id = i and m.loadedat = t"
 _TERMS = rf"""
@@ -93,6 +97,7 @@ ORACLES = {
         r as (select *, row_number() over (partition by trendrun, maincat order by score desc, id) as k from l where score > -1000000000)
         select trendrun, maincat, id from r where k <= 5""",
     "p3_found": _CATS + "select a as cata, b as catb from f where n_ab >= 3 and cast(n as hugeint) * n_ab >= 3 * cast(n_a as hugeint) * n_b",
+    "p3_pairs": _CATS + "select a, b, n_ab, n_a, n_b, n, round(cast(n as double) * n_ab / (cast(n_a as double) * n_b), 9) as lift, round(log2(cast(n as double) * n_ab / (cast(n_a as double) * n_b)), 9) as pmi from f",
     "p9_found": f"""
         with d as ({_RUNS.format("doc_id", _EVAL_WORDS.format("text"), "documents")}), e as (select distinct k, run from ({_RUNS.format("item_id", _EVAL_WORDS.format("text"), "eval_items")}))
         select distinct d.k as doc_id, e.k as item_id from d join e on d.run = e.run""",

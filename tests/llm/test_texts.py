@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from orrery.llm.leaks import WuManber, leaks, words
 from orrery.llm.packing import PIECES, VOCABULARY, TokenCounter, best_two_fit, pack, token_counts
-from orrery.llm.spans import Anchors, shared_pairs, shared_share
+from orrery.llm.spans import Anchors, shared_classes, shared_pairs, shared_share
 from tests.conftest import in_order, rows_of
 
 WORDS = "graph halo spin jet vortex sheaf lattice phonon corona braid kernel tensor".split()
@@ -160,6 +160,18 @@ def test_spans(spark, seed, reach):
         assert share[d]["n_chars"] == len(covered)
 
 
+def test_classes(spark):
+    docs = corpus(1)
+    df = spark.createDataFrame([(*d, "x") for d in [*docs, docs[3]]], "doc bigint, text string, copies string")
+    rep = {}
+    for d, t in docs:
+        rep.setdefault(t if t and len(t) >= 40 else d, d)
+    cls = {d: rep[t if t and len(t) >= 40 else d] for d, t in docs}
+    links = {(cls[a], cls[b]) for a, b in brute_pairs(docs, 40)[0] if cls[a] != cls[b]}
+    want = [(cls[d], sum(c == cls[d] for c in cls.values()), d, len({p for p in {tuple(sorted(x)) for x in links} if cls[d] in p})) for d, _ in docs]
+    assert rows_of(shared_classes(df, "doc", span=40, reach=9, width=12)) == in_order(want)
+
+
 def test_spans_tiny_sketch(spark):
     """A sketch far too small lets everything pass and loses nothing."""
     docs = corpus(3)
