@@ -160,7 +160,7 @@ def paper_age_rank(spark, folder):
     return C.indexed(mapped).join(F.broadcast(n)).select("id", F.round(F.col("idx") / F.col("n"), 9).alias("age"))
 
 
-@query("select id, cites, round(0.2 + 0.2 * cites, 6) as mass, round(sqrt((0.2 + 0.2 * cites) / pi()), 6) as radius from cites")
+@query("select id, cites, round(cast(0.2 + 0.2 * cites as double), 6) as mass, round(sqrt((0.2 + 0.2 * cites) / pi()), 6) as radius from cites")
 def mass_radius(spark, folder):
     rows = C.citation_counts(_edges(spark, folder), C.papers(spark, folder))
     m = measures.mass(F.col("cites"))

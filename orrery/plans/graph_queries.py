@@ -114,18 +114,18 @@ def coarse_links(spark, folder):
 @query(_LINKS + _NODES + """, f as (select a.id as s, b.id as d, a.x - b.x as dx, a.y - b.y as dy, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as r, 1.5 * (a.radius + b.radius) as rest, 1.17 * 0.65 * weight as k
               from links1 l join nodes a on l.src = a.id join nodes b on l.dst = b.id),
     g as (select s as id, -dx * k * (r - rest) / r as fx, -dy * k * (r - rest) / r as fy from f where r > 0.01 union all select d, dx * k * (r - rest) / r, dy * k * (r - rest) / r from f where r > 0.01)
-    select id, round(sum(fx), 3) as fx, round(sum(fy), 3) as fy from g group by id""")
+    select id, round(sum(fx), 3) + 0.0 as fx, round(sum(fy), 3) + 0.0 as fy from g group by id""")
 def link_force(spark, folder):
     nodes, links = _layout(spark, folder)
-    return L.link_forces(nodes, links, Forces()).select("id", F.round("fx", 3).alias("fx"), F.round("fy", 3).alias("fy"))
+    return L.link_forces(nodes, links, Forces()).select("id", (F.round("fx", 3) + 0.0).alias("fx"), (F.round("fy", 3) + 0.0).alias("fy"))
 
 
-@query(_NODES + _LINKS + " select (select count(*) from nodes) as nodes, (select count(*) from links1 where src in (select id from nodes) and dst in (select id from nodes)) as links, (select round(sum(mass), 3) from nodes) as mass")
+@query(_NODES + _LINKS + " select (select count(*) from nodes) as nodes, (select count(*) from links1 where src in (select id from nodes) and dst in (select id from nodes)) as links, (select round(cast(sum(mass) as double), 3) from nodes) as mass")
 def layout_summary(spark, folder):
     return L.summary(*_layout(spark, folder)).select("nodes", "links", F.round("mass", 3).alias("mass"))
 
 
-@query(_NODES + " select round(sum(mass), 3) as mass, round(sum(mass * x) / sum(mass), 4) as cx, round(sum(mass * y) / sum(mass), 4) as cy, round(sqrt(sum(mass * x * x) / sum(mass)), 4) as sx, round(sqrt(sum(mass * y * y) / sum(mass)), 4) as sy from nodes")
+@query(_NODES + " select round(cast(sum(mass) as double), 3) as mass, round(sum(mass * x) / sum(mass), 4) as cx, round(sum(mass * y) / sum(mass), 4) as cy, round(sqrt(sum(mass * x * x) / sum(mass)), 4) as sx, round(sqrt(sum(mass * y * y) / sum(mass)), 4) as sy from nodes")
 def layout_moments(spark, folder):
     m = F.col("mass")
     mean = lambda c: F.sum(m * c) / F.sum(m)

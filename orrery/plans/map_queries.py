@@ -186,12 +186,12 @@ def layout_colours(spark, folder):
     return _flat(_coloured(spark, folder), colours.layout_colour(F.col("col"), F.col("age")))
 
 
-@query(_POS + " select id, round(x * 0.02 + 400, 6) as sx, round(y * 0.02 + 300, 6) as sy, round(x * cos(0.5) - y * sin(0.5), 4) as rx, round(x * sin(0.5) + y * cos(0.5), 4) as ry, -x as fx from pos")
+@query(_POS + " select id, round(cast(x * 0.02 + 400 as double), 6) as sx, round(cast(y * 0.02 + 300 as double), 6) as sy, round(x * cos(0.5) - y * sin(0.5), 4) + 0.0 as rx, round(x * sin(0.5) + y * cos(0.5), 4) + 0.0 as ry, -x as fx from pos")
 def screen_transforms(spark, folder):
     x, y = F.col("x"), F.col("y")
     sx, sy = measures.world_to_screen(x, y, 0.02, 400, 300)
     rx, ry = measures.rotated(x, y, 0.5)
-    return _positions(spark, folder).select("id", F.round(sx, 6).alias("sx"), F.round(sy, 6).alias("sy"), F.round(rx, 4).alias("rx"), F.round(ry, 4).alias("ry"), (-x).cast("bigint").alias("fx"))
+    return _positions(spark, folder).select("id", F.round(sx, 6).alias("sx"), F.round(sy, 6).alias("sy"), (F.round(rx, 4) + 0.0).alias("rx"), (F.round(ry, 4) + 0.0).alias("ry"), (-x).cast("bigint").alias("fx"))
 
 
 @query(_POS + """, b as (select min(x) as lx, min(y) as ly, cast(greatest(max(x) - min(x), max(y) - min(y)) as double) as side from pos),
