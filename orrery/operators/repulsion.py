@@ -17,6 +17,8 @@ LEAST_RSQ = 1e-6
 DEEPEST, TILE_DEPTH = 24, 8
 #: Nodes wanted in a tile; receivers evaluated at once.
 PER_TILE, BLOCK = 400, 512
+#: How many times over a tile may be filled before tiles are made smaller.
+DENSE = 4
 
 
 def pair_factor(rsq: np.ndarray, m1: np.ndarray, m2: np.ndarray, r1: np.ndarray, r2: np.ndarray, leaf: np.ndarray, p: Forces) -> np.ndarray:
@@ -134,11 +136,17 @@ def repulsion(nodes: DataFrame, p: Forces, per_tile: int = PER_TILE) -> DataFram
     if not box[4]:
         return rows.select("id", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
     low_x, low_y, side = box[0], box[2], max(box[1] - box[0], box[3] - box[2], 1e-10) * (1 + 1e-9)
-    depth = min(TILE_DEPTH, max(0, int(np.ceil(np.log2(max(1.0, box[4] / per_tile)) / 2))))
-    strips = 1 << depth
+    strips = 1 << TILE_DEPTH
     strip = lambda c, low: F.least(F.greatest(F.floor((F.col(c) - low) / side * strips), F.lit(0)), F.lit(strips - 1)).cast("int")
     placed = rows.withColumn("tx", strip("x", low_x)).withColumn("ty", strip("y", low_y))
     sums = placed.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("m"), F.sum(F.col("mass") * F.col("x")).alias("mx"), F.sum(F.col("mass") * F.col("y")).alias("my"), F.max("radius").alias("r")).toPandas()
+    # The shallowest depth at which no tile holds more than DENSE times what is wanted.
+    for depth in range(TILE_DEPTH + 1):
+        at = sums.assign(**{c: sums[c] // (1 << (TILE_DEPTH - depth)) for c in ("tx", "ty")}).groupby(["tx", "ty"], as_index=False).agg({"n": "sum", "m": "sum", "mx": "sum", "my": "sum", "r": "max"})
+        if at["n"].max() <= DENSE * per_tile:
+            break
+    sums, strips = at, 1 << depth
+    placed = placed.withColumns({c: F.shiftright(c, TILE_DEPTH - depth) for c in ("tx", "ty")})
     codes = (_spread(sums["tx"].to_numpy()) | (_spread(sums["ty"].to_numpy()) << np.uint64(1))).astype(np.int64)
     order = np.argsort(codes)
     sent = nodes.sparkSession.sparkContext.broadcast((codes[order], *[sums[c].to_numpy(dtype=float)[order] for c in ("n", "m", "mx", "my", "r")]))
