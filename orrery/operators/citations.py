@@ -37,8 +37,11 @@ def counts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def blob_links(spark: SparkSession, folder: str, blob: str = "refs") -> DataFrame:
-    """(id, slot, other, ord, freq, ncites): the decoded blobs, exact copies of rows once."""
-    return unpack_links(table(spark, folder, "pcite", "id", blob), "id", blob).distinct()
+    """(id, slot, other, ord, freq, ncites): the decoded blobs, exact copies of rows once.
+
+    Copies are dropped while links are packed, when a link is ten bytes of shuffle rather than a row.
+    """
+    return unpack_links(table(spark, folder, "pcite", "id", blob).dropDuplicates(["id", blob]), "id", blob)
 
 
 def edges(decoded: DataFrame, known: DataFrame) -> DataFrame:

@@ -21,12 +21,13 @@ _PADDED = "(' ' || array_to_string(" + _WORDS + ", ' ') || ' ')"
 _MAP = ", pos as (select distinct id, x, y, r from map_data)"
 
 
-def _searched(spark: SparkSession, folder: str) -> DataFrame:
-    return C.papers(spark, folder, "allcats", "maincat", "title", "authors", "keywords", "arxiv", "publ")
+def _searched(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Papers with what every search needs, and the columns that it looks into; no others are read."""
+    return C.papers(spark, folder, *columns, "arxiv", "publ")
 
 
-def _counted(spark: SparkSession, folder: str) -> DataFrame:
-    return C.counts(spark, folder, "numrefs", "numcites", "dnumcites1", "dnumcites5")
+def _counted(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return C.counts(spark, folder, *(columns or ["numcites"]))
 
 
 _FOUND = " select p.id, c.numcites as nc from papers p join cnt c on p.id = c.id where (p.arxiv is not null or p.publ is not null) and {0} order by p.id {1}"
@@ -34,22 +35,22 @@ _FOUND = " select p.id, c.numcites as nc from papers p join cnt c on p.id = c.id
 
 @query(_FOUND.format("maincat = 'opt-dyn' and p.id between 2100000000 and 2200000000", "limit 500"))
 def category_range_search(spark, folder):
-    return S.category_search(_searched(spark, folder), _counted(spark, folder), "opt-dyn", False, 2_100_000_000, 2_200_000_000)
+    return S.category_search(_searched(spark, folder, "maincat"), _counted(spark, folder), "opt-dyn", False, 2_100_000_000, 2_200_000_000)
 
 
 @query(_FOUND.format("(contains(allcats, 'opt-dyn') or contains(allcats, 'geo')) and p.id between 2100000000 and 4000000000", ""))
 def category_cross_search(spark, folder):
-    return S.category_search(_searched(spark, folder), _counted(spark, folder), "opt-dyn,geo", True, 2_100_000_000, 0, most=None)
+    return S.category_search(_searched(spark, folder, "allcats"), _counted(spark, folder), "opt-dyn,geo", True, 2_100_000_000, 0, most=None)
 
 
 @query(_FOUND.format("contains(allcats, 'dyn') and p.id between (select min(id) from datebdry where daysago in (31, 2)) and (select max(id) from datebdry where daysago in (31, 2))", "limit 500"))
 def category_days_search(spark, folder):
-    return S.category_search_by_days(_searched(spark, folder), _counted(spark, folder), table(spark, folder, "datebdry"), "dyn", True, 31, 2)
+    return S.category_search_by_days(_searched(spark, folder, "allcats"), _counted(spark, folder), table(spark, folder, "datebdry"), "dyn", True, 31, 2)
 
 
 @query(_FOUND.format("false", ""))
 def category_invalid_search(spark, folder):
-    return S.category_search(_searched(spark, folder), _counted(spark, folder), "opt-dyn.XA", False, 2_100_000_000, 0)
+    return S.category_search(_searched(spark, folder, "maincat"), _counted(spark, folder), "opt-dyn.XA", False, 2_100_000_000, 0)
 
 
 @query(_FOUND.format("p.inspire between 1000 and 20000 and maincat = 'opt-dyn'", ""))
@@ -60,12 +61,12 @@ def aux_range_search(spark, folder):
 
 @query(_MAP + _FOUND.format("p.id in (select id from pos) and maincat = 'opt-dyn'", "limit 500"))
 def mapped_only_search(spark, folder):
-    return S.generic(_searched(spark, folder), _counted(spark, folder), S.in_categories("opt-dyn", False), table(spark, folder, "map_data", "id"))
+    return S.generic(_searched(spark, folder, "maincat"), _counted(spark, folder), S.in_categories("opt-dyn", False), table(spark, folder, "map_data", "id"))
 
 
 @query(_FOUND.format("contains(" + _PADDED.format("authors") + ", ' henry ')", "limit 500"))
 def author_terms_search(spark, folder):
-    return S.generic(_searched(spark, folder), _counted(spark, folder), S.all_terms(F.col("authors"), "Henry", True))
+    return S.generic(_searched(spark, folder, "authors"), _counted(spark, folder), S.all_terms(F.col("authors"), "Henry", True))
 
 
 @query(_FOUND.format("contains(" + _PADDED.format("authors") + ", ' henry ') and p.inspire between 100 and 30000", "limit 500"))
@@ -76,7 +77,7 @@ def author_aux_search(spark, folder):
 
 @query(_FOUND.format("contains(" + _PADDED.format("title") + ", ' vortex ') and contains(" + _PADDED.format("title") + ", ' and ')", "limit 500"))
 def title_terms_search(spark, folder):
-    return S.generic(_searched(spark, folder), _counted(spark, folder), S.all_terms(F.col("title"), "vortex and", False))
+    return S.generic(_searched(spark, folder, "title"), _counted(spark, folder), S.all_terms(F.col("title"), "vortex and", False))
 
 
 @query(" select id, cast(len(list_filter(" + _WORDS.format("concat_ws(' ', keywords)") + ", lambda w: w in ('vortex', 'spin'))) as bigint) as hits from papers where hits > 0 order by hits desc, id limit 150")
@@ -91,7 +92,7 @@ def general_search(spark, folder):
 
 @query(" select p.id, c.numrefs, c.numcites, p.arxiv from papers p left join cnt c on p.id = c.id where p.arxiv = '0003.070314' or p.arxiv like '%/93%'")
 def paper_by_code(spark, folder):
-    rows = V.paper_rows(C.papers(spark, folder, "arxiv"), _counted(spark, folder))
+    rows = V.paper_rows(C.papers(spark, folder, "arxiv"), _counted(spark, folder, "numrefs", "numcites", "dnumcites1", "dnumcites5"))
     return rows.where((F.col("arxiv") == "0003.070314") | F.col("arxiv").like("%/93%")).select("id", "numrefs", "numcites", "arxiv")
 
 
@@ -153,7 +154,7 @@ def new_papers_search(spark, folder):
 
 @query()
 def data_for_ids(spark, folder):
-    rows = V.paper_rows(_searched(spark, folder).withColumn("inspire", F.lit(None).cast("bigint")), _counted(spark, folder))
+    rows = V.paper_rows(_searched(spark, folder, "allcats", "maincat", "title", "authors").withColumn("inspire", F.lit(None).cast("bigint")), _counted(spark, folder, "numrefs", "numcites", "dnumcites1", "dnumcites5"))
     flags = F.when(F.col("maincat") == "opt-dyn", V.META | V.REFS | V.ALL_CITES).otherwise(V.UPDATE | V.NEW_CITES)
     e = _edges(spark, folder)
     return V.data_for_ids(rows.select("id", flags.alias("flags")), rows, e, C.citation_counts(e, rows), 2_217_000_000)
