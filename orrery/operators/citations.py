@@ -94,22 +94,35 @@ def keyword_rows(rows: DataFrame, column: str = "keywords") -> DataFrame:
     return rows.select("id", F.posexplode(keyword_slots(F.col(column))).alias("slot", "keyword"))
 
 
+def _ranged(rows: DataFrame, key: str) -> DataFrame:
+    """rows with ``__p``, the range of a whole-number key they lie in: as many ranges as shuffle partitions (64 at least), about equally full."""
+    parts = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = rows.select(F.percentile_approx(key, [k / parts for k in range(1, parts)], 100 * parts).alias("cuts"))
+    cuts = cuts.select(F.coalesce("cuts", F.array().cast("array<bigint>")).cast("array<bigint>").alias("__cuts"))
+    return rows.join(F.broadcast(cuts)).withColumn("__p", F.size(F.filter("__cuts", lambda c: c < F.col(key)))).drop("__cuts")
+
+
 def indexed(rows: DataFrame, key: str = "id", name: str = "idx") -> DataFrame:
     """rows with their place (from 0) in the order of a unique key of whole numbers, without gathering them in one task.
 
-    Rows are dealt into ranges of the key, as many as there are shuffle partitions (64 at least); ranks within a range are shifted by the
-    number of rows in the ranges before.
+    Rows are dealt into ranges of the key; ranks within a range are shifted by the number of rows in the ranges before.
     """
-    parts = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.select(F.percentile_approx(key, [k / parts for k in range(1, parts)], 100 * parts).alias("cuts"))
-    cuts = cuts.select(F.coalesce("cuts", F.array().cast("array<bigint>")).cast("array<bigint>").alias("__cuts"))
-    ranged = rows.join(F.broadcast(cuts)).withColumn("__p", F.size(F.filter("__cuts", lambda c: c < F.col(key)))).drop("__cuts")
+    ranged = _ranged(rows, key)
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # one row per range
     rank = F.row_number().over(Window.partitionBy("__p").orderBy(key))
     return ranged.withColumn("__k", rank).join(F.broadcast(before), "__p").withColumn(name, (F.col("__k") + F.col("__before") - 1).cast("bigint")).drop("__p", "__k", "__before")
 
 
+def least_before(rows: DataFrame, group: str, key: str, value: str, name: str) -> DataFrame:
+    """rows with the least ``value`` of the rows of their group with a smaller ``key``; null if there is none. Ranges of the key are worked on apart."""
+    ranged = _ranged(rows, key)
+    firm = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(group, "__p").agg(F.min(value).alias("__m")).select(group, "__p", F.min("__m").over(firm).alias("__before"))  # one row per range
+    near = Window.partitionBy(group, "__p").orderBy(key).rangeBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn("__near", F.min(value).over(near)).join(before, [group, "__p"]).withColumn(name, F.least("__near", "__before")).drop("__p", "__near", "__before")
+
+
 def best_by(rows: DataFrame, key: list[str], score: str, tie: str, value: str, name: str) -> DataFrame:
     """(key..., name): the value of each key's greatest score, ties to the smaller ``tie``."""
     return rows.groupBy(*key).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t"), F.col(value).alias("v")))["v"].alias(name))

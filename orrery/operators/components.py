@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators.citations import best_by
+from orrery.operators.citations import best_by, least_before
 from orrery.session import written
 
 
@@ -135,11 +135,9 @@ def fake_links(rows: DataFrame, components: DataFrame, keywords: DataFrame) -> t
     # The heaviest connected paper by then: of those before the category, and of the components that it connected earlier.
     start = before.groupBy("cat").agg(F.min(F.struct((-F.col("mass")).alias("m"), "id")).alias("best"))
     own = papers_.where("step = cat and not big").groupBy("component", "cat").agg(F.min(F.struct((-F.col("mass")).alias("m"), "id")).alias("heaviest"), F.min("id").alias("id"))
-    # Only a component heavier than all before it changes the best; those that matter have more mass than the start's best.
-    heavier = own.join(start, "cat").where(F.col("heaviest") < F.col("best")).select("cat", F.col("id").alias("from"), F.col("heaviest").alias("h"))
+    late = least_before(own.select("cat", "id", "heaviest"), "cat", "id", "heaviest", "h")
     without = linking.join(of_words.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-    late = without.join(heavier, (without["cat"] == heavier["cat"]) & (heavier["from"] < without["id"]), "left").select(without["id"], without["cat"], "h")
-    fallback = late.groupBy("id", "cat").agg(F.min("h").alias("h")).join(start, "cat").select(F.col("id").alias("src"), F.coalesce("h", "best")["id"].alias("dst"), F.lit(0).alias("slot"))
+    fallback = without.join(late.select("id", "h"), "id", "left").join(start, "cat").select(F.col("id").alias("src"), F.least("h", "best")["id"].alias("dst"), F.lit(0).alias("slot"))
     connected = papers_.where(F.col("step").isNotNull()).select("id")
     return of_words.unionByName(fallback), connected
 
