@@ -180,16 +180,24 @@ def test_spans_tiny_sketch(spark):
     assert shared_pairs(df.limit(0)).count() == 0 and shared_share(df.limit(0)).count() == 0
 
 
-def test_large_group(spark, monkeypatch):
-    """A stretch common to many documents is compared in cells of bounded size."""
+@pytest.mark.parametrize("length", [36, 60, 200])
+def test_large_group(spark, monkeypatch, length):
+    """A stretch common to many documents: shorter than a span it costs no pair, longer it is compared in cells of bounded size."""
     import orrery.llm.spans as S
 
     monkeypatch.setattr(S, "CELL", 8)
-    rng = random.Random(7)
-    common = text_of(rng, 12)[:60]
-    docs = [(d, text_of(rng, 3) + common + text_of(rng, 3)) for d in range(50)]
+    rng = random.Random(length)
+    common = text_of(rng, 40)[:length]
+    docs = [(d, text_of(rng, 3) + common + text_of(rng, 3)) for d in range(50)] + [(60, common), (61, common + "x"), (62, "y" + common)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    assert {tuple(r) for r in shared_pairs(df, span=40, reach=9, width=12).collect()} == brute_pairs(docs, 40)[0]
+    want, runs = brute_pairs(docs, 40)
+    assert {tuple(r) for r in shared_pairs(df, span=40, reach=9, width=12).collect()} == want
+    for r in shared_share(df, span=40, reach=9, width=12).collect():
+        t = dict(docs)[r["doc_id"]]
+        covered = np.zeros(len(t), dtype=bool)
+        for k in range(len(t) - 39):
+            covered[k : k + 40] |= len(runs[t[k : k + 40]]) > 1
+        assert r["shared_chars"] == covered.sum()
 
 
 def test_slices(monkeypatch):
