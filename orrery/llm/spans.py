@@ -169,8 +169,13 @@ def sketch(texts: DataFrame, span: int, reach: int = REACH, width: int = WIDTH,
     return out
 
 
-def repeated_anchors(texts: DataFrame, bits: np.ndarray, span: int, reach: int = REACH, width: int = WIDTH) -> DataFrame:
-    """(gram, doc, at, before, after) of the anchors that the sketch has as repeated; gram is a 128-bit digest."""
+def repeated_anchors(texts: DataFrame, bits: np.ndarray, span: int, reach: int = REACH, width: int = WIDTH, every: bool = False) -> DataFrame:
+    """(gram, doc, at, before, after) of the anchors that the sketch has as repeated; gram is a 128-bit digest.
+
+    Anchors of equal surroundings are one row of their text: they prove the same. ``at`` is the first one's place, with ``every`` the
+    list of all their places.
+    """
+    kind, schema = (pa.list_(pa.int64()), "array<bigint>") if every else (pa.int64(), "bigint")
     sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,21 +188,23 @@ def repeated_anchors(texts: DataFrame, bits: np.ndarray, span: int, reach: int =
                 for row in range(len(table)):
                     c = _counters(hashes, row, width)
                     keep &= (table[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
-                rows, seen, last = [], set(), -1
+                rows, seen, last = [], {}, -1
                 for k, at in zip(number[keep].tolist(), position[keep].tolist()):
                     if k != last:
-                        seen, last = set(), k
+                        seen, last = {}, k
                     text = body[k]
                     around = text[max(0, at - side) : at + gram + side]
-                    if (key := (min(at, side), around)) in seen:  # a periodic text repeats itself; once is enough for pairs
+                    if (places := seen.get(key := (min(at, side), around))) is not None:
+                        if every:
+                            places.append(at)
                         continue
-                    seen.add(key)
+                    seen[key] = places = [at]
                     digest = hashlib.blake2b(text[at : at + gram].encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    rows.append((digest, docs[k], at, text[max(0, at - side) : at], text[at + gram : at + gram + side]))
+                    rows.append((digest, docs[k], places if every else at, text[max(0, at - side) : at], text[at + gram : at + gram + side]))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["gram", "doc", "at", "before", "after"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), kind, pa.string(), pa.string()))], ["gram", "doc", "at", "before", "after"])
 
-    return texts.mapInArrow(run, "gram binary, doc bigint, at bigint, before string, after string")
+    return texts.mapInArrow(run, f"gram binary, doc bigint, at {schema}, before string, after string")
 
 
 def _cells(anchors: DataFrame, reach: int) -> DataFrame:
@@ -237,6 +244,17 @@ def _codes(texts: list[str], side: int, backward: bool) -> np.ndarray:
     return out
 
 
+def _runs(places: list[int], left: int, right: int) -> Iterator[tuple[int, int]]:
+    """The stretches from ``left`` before to ``right`` after each of the ascending places, those that touch or overlap as one."""
+    begin = last = places[0]
+    for at in places[1:]:
+        if at - left > last + right:
+            yield begin - left, last + right
+            begin = at
+        last = at
+    yield begin - left, last + right
+
+
 def _compare(reach: int, want: str, gram: int):
     side = reach + 1
 
@@ -270,7 +288,7 @@ def _compare(reach: int, want: str, gram: int):
                     l, r = int(left[i, j]), int(right[i, j])
                     for here, there in ((0, 1), (1, 0)) if crossed else ((0, 0),):
                         others = {q for q, _ in b[there]}
-                        yield from ((p, at - l, at + gram + r) for p, at in a[here] if others - {p})
+                        yield from ((p, *run) for p, places in a[here] if others - {p} for run in _runs(places, l, gram + r))
 
     return results
 
@@ -313,7 +331,7 @@ def exact_classes(documents: DataFrame, doc: str, text: str, least: int) -> Data
     return written(ids.join(reps, "__h").where(F.col("doc") != F.col("rep")).select("doc", "rep").distinct(), "copies")
 
 
-def _anchored(documents: DataFrame, doc: str, text: str, span: int, reach: int, width: int, rows: int) -> tuple[DataFrame, DataFrame]:
+def _anchored(documents: DataFrame, doc: str, text: str, span: int, reach: int, width: int, rows: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """The repeated anchors of one document per class of exact copies, and the other copies."""
     if not 0 < reach < span:
         raise ValueError("reach must lie between 0 and the span")
@@ -321,7 +339,7 @@ def _anchored(documents: DataFrame, doc: str, text: str, span: int, reach: int,
     copies = exact_classes(kept, doc, text, span)
     texts = kept.select(F.col(doc).cast("bigint").alias("__d"), F.col(text).alias("__t")).join(copies.select(F.col("doc").alias("__d")), "__d", "left_anti")
     bits = sketch(texts, span, reach, width, rows)
-    return written(repeated_anchors(texts, bits, span, reach, width), "anchors"), copies
+    return written(repeated_anchors(texts, bits, span, reach, width, every), "anchors"), copies
 
 
 def shared_pairs(documents: DataFrame, doc: str = "doc_id", text: str = "text", span: int = 300, reach: int = REACH, width: int = WIDTH, rows: int = ROWS) -> DataFrame:
@@ -364,10 +382,9 @@ def shared_share(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     """(doc, n_chars, spans, shared_chars, share) of every document: its stretches found in others too, and their share of its text.
 
     Stretches that touch or overlap count as one. A document without any, or with a null or empty text, has 0 and 0.0; exact
-    copies have one stretch, the whole. Of a stretch that a document holds several times within a periodic text, the first
-    place counts.
+    copies have one stretch, the whole. A stretch that a document holds several times counts at each place.
     """
-    anchors, copies = _anchored(documents, doc, text, span, reach, width, rows)
+    anchors, copies = _anchored(documents, doc, text, span, reach, width, rows, every=True)
     found = _compared(anchors, span, reach, "spans", "doc bigint, begin bigint, stop bigint").distinct()
     lengths = documents.select(F.col(doc), F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("n_chars"))
     joined = F.aggregate(

@@ -160,6 +160,23 @@ def test_spans(spark, seed, reach):
         assert share[d]["n_chars"] == len(covered)
 
 
+def test_share_of_repeated_passages(spark):
+    """A passage that stands twice in a document counts at both places, whole; so does a periodic text."""
+    rng = random.Random(4)
+    notice = text_of(rng, 80)[:400]
+    docs = [(0, notice), (1, text_of(rng, 5) + notice + text_of(rng, 9) + notice + text_of(rng, 3)), (2, text_of(rng, 9)), *(x for x in corpus(2) if x[0] >= 100)]
+    df = spark.createDataFrame(docs, "doc bigint, text string")
+    _, runs = brute_pairs(docs, 40)
+    for r in shared_share(df, "doc", span=40, reach=9, width=14).collect():
+        t = dict(docs)[r["doc"]] or ""
+        covered = np.zeros(len(t), dtype=bool)
+        for k in range(len(t) - 39):
+            covered[k : k + 40] |= len(runs[t[k : k + 40]]) > 1
+        assert r["shared_chars"] == covered.sum(), r["doc"]
+        if r["doc"] == 1:
+            assert r["spans"] == 2
+
+
 def test_classes(spark):
     docs = corpus(1)
     df = spark.createDataFrame([(*d, "x") for d in [*docs, docs[3]]], "doc bigint, text string, copies string")
