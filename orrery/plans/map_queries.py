@@ -35,6 +35,12 @@ def _positions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "map_data").distinct()
 
 
+def _membership(spark: SparkSession, folder: str, *most: int) -> DataFrame:
+    pos = _positions(spark, folder)
+    members = T.tile_members(pos, T.tile_pyramid(T.world_bounds(pos), *most))
+    return members.groupBy("depth", "xi", "yi").agg(F.count(F.lit(1)).alias("papers"), F.sum(F.col("id") % 1000003).alias("checksum"))
+
+
 def _category_labels(spark: SparkSession, folder: str) -> DataFrame:
     rows = _positions(spark, folder).join(C.papers(spark, folder, "maincat"), "id")
     names = C.papers(spark, folder, "maincat").select(F.col("maincat").alias("cat"), F.upper("maincat").alias("display")).distinct()
@@ -93,9 +99,13 @@ def zone_pyramid(spark, folder):
     select a.depth, cast(a.n as int) as xi, cast(b.n as int) as yi, count(*) as papers, sum(pos.id % 1000003)::bigint as checksum
     from pos join mid a on abs(pos.x - a.mx) <= a.half + a.maxr + pos.r join mid b on a.depth = b.depth and abs(pos.y - b.my) <= b.half + b.maxr + pos.r group by 1, 2, 3""")
 def tile_membership(spark, folder):
-    pos = _positions(spark, folder)
-    members = T.tile_members(pos, T.tile_pyramid(T.world_bounds(pos), 64))
-    return members.groupBy("depth", "xi", "yi").agg(F.count(F.lit(1)).alias("papers"), F.sum(F.col("id") % 1000003).alias("checksum"))
+    """The depths to 64 divisions, to which its SQL goes; tile_membership_whole has all."""
+    return _membership(spark, folder, 64)
+
+
+@query()
+def tile_membership_whole(spark, folder):
+    return _membership(spark, folder)
 
 
 @query(_ZONES + _CATLABELS + """, named as (select pos.*, maincat as label from pos join papers on pos.id = papers.id),
@@ -121,7 +131,7 @@ def zone_label_files(spark, folder):
 @query()
 def tile_draw_list(spark, folder):
     rows = _coloured(spark, folder)
-    pyramid = T.tile_pyramid(T.world_bounds(_positions(spark, folder)), 16)
+    pyramid = T.tile_pyramid(T.world_bounds(_positions(spark, folder)))
     paint = rows.withColumn("rgb", colours.category_colour(F.col("col"), F.col("dim"), F.col("age"))).select("id", "x", "y", "r", "rgb")
     return T.draw_list(T.tile_members(paint, pyramid), pyramid, F.col("rgb"))
 

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import datetime
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from orrery.config import Forces, load_settings
@@ -12,6 +14,7 @@ from orrery.operators import search as S
 from orrery.operators import serving as V
 from orrery.operators import tiles as T
 from orrery.operators import user_state as U
+from orrery.plans import map_queries, serving_queries
 from orrery.sources import json_sources as J
 from tests.conftest import rows_of
 
@@ -38,6 +41,42 @@ def test_tiles_against_brute_force(spark):
     assert (none["minx"], none["maxx"], none["maxr"]) == (-100, 100, 0)
 
 
+@pytest.fixture(scope="module")
+def small_map(tmp_path_factory, spark):
+    """A folder with a map of a few papers; two of them without metadata."""
+    folder = str(tmp_path_factory.mktemp("map"))
+    rng = random.Random(6)
+    pos = [(2_100_000_000 + i, rng.randrange(-9000, 9000), rng.randrange(-7000, 9000), rng.randrange(1, 120)) for i in range(40)]
+    spark.createDataFrame(pos, POS).write.parquet(f"{folder}/map_data.parquet")
+    meta = [(i, "opt-dyn", f"{k}", datetime.datetime(2020, 1, 1)) for k, (i, *_) in enumerate(pos[:38])]
+    rows = spark.createDataFrame(meta, "id bigint, maincat string, arxiv string, loadedat timestamp")
+    rows.selectExpr("*", "maincat as allcats", "'T' as title", "'A. B' as authors", "'k' as keywords", "'' as publ", "id % 3 as inspire", "'' as status").write.parquet(f"{folder}/meta_data.parquet")
+    spark.createDataFrame([(0, pos[-1][0])], "daysago int, id bigint").write.parquet(f"{folder}/datebdry.parquet")
+    return folder, pos
+
+
+def test_whole_pyramid(spark, small_map):
+    """The tile queries give all seven depths, to 256 divisions."""
+    folder, pos = small_map
+    maxr = max(r for *_, r in pos)
+    minx, maxx, miny, maxy = (f(0, f(p[k] + s * p[3] for p in pos)) + s * 100 for k, f, s in ((1, min, -1), (1, max, 1), (2, min, -1), (2, max, 1)))
+    want = {}
+    for depth, divs in enumerate((4, 8, 16, 32, 64, 128, 256)):
+        tw = int(max((maxx - minx) / divs, (maxy - miny) / divs))
+        near = lambda c, low, r: [n for n in range(1, divs + 1) if abs(c - int(low + (n - 0.5) * tw)) <= tw // 2 + maxr + r]  # noqa: E731, B023
+        for i, x, y, r in pos:
+            for xi in near(x, minx, r):
+                for yi in near(y, miny, r):
+                    want.setdefault((depth, xi, yi), set()).add(i)
+    got = map_queries.tile_membership_whole(spark, folder).collect()
+    assert {(t["depth"], t["xi"], t["yi"]): (t["papers"], t["checksum"]) for t in got} == {t: (len(ids), sum(i % 1000003 for i in ids)) for t, ids in want.items()}
+    drawn = {}
+    for t in map_queries.tile_draw_list(spark, folder).select("depth", "xi", "yi", "id").collect():
+        drawn.setdefault(tuple(t)[:3], set()).add(t["id"])
+    known = {i for i, *_ in pos[:38]}
+    assert drawn == {t: ids & known for t, ids in want.items() if ids & known}
+
+
 def test_labels_zones_and_png(spark):
     pos = spark.createDataFrame([(1, 0, 0, 50, "big"), (2, 400, 300, 1, "small"), (3, -300, 10, 40, "")], POS + ", label string")
     zones = T.zone_pyramid(T.world_bounds(pos))
