@@ -152,12 +152,19 @@ def new_papers_search(spark, folder):
     return S.generic(rows, _counted(spark, folder), S.in_range(0, 0))
 
 
+def _abstracts(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, abstract): the first text about a paper that isn't empty stands for its abstract; the tables have no others."""
+    text = F.trim(F.regexp_replace(F.regexp_extract("text", r"^[^<]*", 0), r"\s+", " "))
+    rows = table(spark, folder, "documents", "doc_id", "text", "paperid").select(F.col("paperid").alias("id"), "doc_id", text.alias("abstract"))
+    return rows.where("id is not null and abstract <> ''").groupBy("id").agg(F.min_by("abstract", "doc_id").alias("abstract"))
+
+
 @query()
 def data_for_ids(spark, folder):
-    rows = V.paper_rows(_searched(spark, folder, "allcats", "maincat", "title", "authors").withColumn("inspire", F.lit(None).cast("bigint")), _counted(spark, folder, "numrefs", "numcites", "dnumcites1", "dnumcites5"))
-    flags = F.when(F.col("maincat") == "opt-dyn", V.META | V.REFS | V.ALL_CITES).otherwise(V.UPDATE | V.NEW_CITES)
+    rows = V.paper_rows(_searched(spark, folder, "allcats", "maincat", "title", "authors", "inspire"), _counted(spark, folder, "numrefs", "numcites", "dnumcites1", "dnumcites5"))
+    flags = F.when(F.col("maincat") == "opt-dyn", V.META | V.REFS | V.ALL_CITES | V.ABSTRACT).otherwise(V.UPDATE | V.NEW_CITES)
     e = _edges(spark, folder)
-    return V.data_for_ids(rows.select("id", flags.alias("flags")), rows, e, C.citation_counts(e, rows), 2_217_000_000)
+    return V.data_for_ids(rows.select("id", flags.alias("flags")), rows, e, C.citation_counts(e, rows), 2_217_000_000, _abstracts(spark, folder))
 
 
 # Saved state: users are derived from papers' main categories, their items from papers.

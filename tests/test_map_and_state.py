@@ -155,6 +155,21 @@ def test_data_for_ids(spark):
     assert encode.to_response(links.limit(0)) == '{"r":null}' and encode.to_response(spark.range(1), "cb") == 'cb({"r":[{"id":0}]})'
 
 
+def test_data_for_ids_query(spark, tmp_path):
+    """The query reads inspire, and gives abstracts to requests that ask for them."""
+    folder, at = str(tmp_path), datetime.datetime(2020, 1, 1)
+    meta = [(1, "opt-dyn", 1048, at), (2, "opt-dyn", 0, at), (3, "geo", 7, at)]
+    rows = spark.createDataFrame(meta, "id bigint, maincat string, inspire bigint, loadedat timestamp")
+    rows.selectExpr("*", "maincat as allcats", "'T' as title", "'A. B' as authors", "'k' as keywords", "'a' as arxiv", "'' as publ", "'' as status").write.parquet(f"{folder}/meta_data.parquet")
+    counts = spark.createDataFrame([(k, bytearray()) for k in (1, 2, 3)], "id bigint, refs binary")
+    counts.selectExpr("*", "refs as cites", "0 as numrefs", "0 as numcites", "0 as dnumcites1", "0 as dnumcites5").write.parquet(f"{folder}/pcite.parquet")
+    texts = [(9, 1, "late"), (4, 1, "of\n spins <b>x"), (2, 1, " "), (5, 3, "unasked"), (6, None, "none")]
+    spark.createDataFrame(texts, "doc_id bigint, paperid bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r["id"]: r for r in serving_queries.data_for_ids(spark, folder).collect()}
+    assert json.loads(got[1]["meta"])["insp"] == 1048 and "insp" not in json.loads(got[2]["meta"])
+    assert [got[k]["abst"] for k in (1, 2, 3)] == ["of spins", "(no abstract)", None]
+
+
 def test_notes_and_graphs(spark):
     old = spark.createDataFrame([("u", 1, "a"), ("u", 2, "b"), ("u", 3, "c")], "user string, id bigint, notes string")
     diff = spark.createDataFrame([("u", 1, None, None, 1), ("u", 2, None, True, 2), ("u", 3, "C", False, 3), ("u", 4, "d", False, 4), ("v", 1, "x", True, 5), ("u", 2, None, False, 6)], "user string, id bigint, notes string, rm boolean, seq int")
