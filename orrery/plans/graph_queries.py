@@ -182,13 +182,24 @@ def orient_layout(spark, folder):
 
 @query()
 def daily_increment(spark, folder):
-    """The daily batch: stored positions, new papers placed and relaxed with the old ones held, saved again."""
+    """The daily batch: stored positions, new papers placed and relaxed with the old ones held, the whole graph adjusted, then finely; saved again.
+
+    The iterations turn the map, so it is aligned by a category at the end.
+    """
     nodes, links = _layout(spark, folder)
     stored = table(spark, folder, "map_data").distinct()
     old = stored.join(C.papers(spark, folder, where="coalesce(status, '') not in ('new', 'deleted')"), "id", "left_semi")
     placed = written(L.placed_new(L.with_positions(nodes, old, 7), links, 7), "placed")
-    moved, _ = L.iterate(placed, links, Forces(close_repulsion=True), L.State(step=1.0))
-    return L.saved(old, L.released(moved))
+    moved = L.daily_layout(placed, links, Forces())
+    chosen = C.papers(spark, folder, "maincat").where("maincat = 'opt-dyn'").select("id")
+    return L.saved(old, L.oriented(moved, chosen, 4.2))
+
+
+@query()
+def complete_layout(spark, folder):
+    """A layout from scratch with the reference's budget: ten levels, 2000 iterations with close repulsion, 6000 of the finest level."""
+    nodes, links = _layout(spark, folder)
+    return L.exported(L.complete_layout(nodes.drop("x", "y"), links, Forces(), state=L.State()))
 
 
 QUERIES, ORACLES = R.queries, R.oracles
