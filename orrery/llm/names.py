@@ -177,6 +177,18 @@ def _near(a: Column, b: Column) -> Column:
     return (F.length(a) <= 1) | (F.length(b) <= 1) | (F.levenshtein(a, b) <= 2)
 
 
+def _people(forms: Column) -> Column:
+    """The people of a surname and initial by their spellings (given, middle; null for none): what only one of them has is all's, and a
+    spelling that says less than another is that one's, so that an initial alone doesn't agree with everybody."""
+    for c in ("given", "middle"):
+        some = F.array_distinct(F.filter(F.transform(forms, lambda f: f[c]), lambda v: v.isNotNull()))  # noqa: B023
+        only = F.when(F.size(some) == 1, F.get(some, F.lit(0)))
+        given, middle = (lambda f, n=n: F.coalesce(f[n], only) if n == c else f[n] for n in ("given", "middle"))  # noqa: B023
+        forms = F.array_distinct(F.transform(forms, lambda f: F.struct(given(f).alias("given"), middle(f).alias("middle"))))  # noqa: B023
+    says = lambda a, b: (a["given"].isNull() | F.coalesce(a["given"] == b["given"], F.lit(False))) & (a["middle"].isNull() | F.coalesce(a["middle"] == b["middle"], F.lit(False)))
+    return F.filter(forms, lambda a: ~F.exists(forms, lambda b: says(a, b) & ~says(b, a)))
+
+
 def _stars(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """(key..., token, head): each token with the most used of those it is linked to, two steps away at most.
 
@@ -217,21 +229,29 @@ def name_clusters(values: DataFrame, value: str, alike: float = ALIKE) -> DataFr
 
     # Typing errors in the rare token.
     full = F.when(F.length("given") > 1, F.col("given"))
-    nodes = rows.groupBy("kind", "initial", F.col("rare").alias("token")).agg(F.sum("uses").alias("uses"), F.max_by(full, F.when(full.isNotNull(), F.struct("uses", "given"))).alias("given"), F.max(F.when(F.col("middle") != "", F.col("middle"))).alias("middle"))
-    nodes = written(nodes, "nodes")
+    # A node's people: each distinct full given name and middle initial, null where a spelling has none. Any of them may agree.
+    person_ = F.struct(full.alias("given"), F.when(F.col("middle") != "", F.col("middle")).alias("middle"))
+    nodes = rows.groupBy("kind", "initial", F.col("rare").alias("token")).agg(F.sum("uses").alias("uses"), F.collect_set(person_).alias("people"))
+    nodes = written(nodes.withColumn("people", _people(F.col("people"))), "nodes")
     pairs = similar_tokens(nodes, "token", ["kind", "initial"])
     for k in ("1", "2"):
-        side = nodes.select("kind", "initial", F.col("token").alias(f"t{k}"), F.col("uses").alias(f"u{k}"), F.col("given").alias(f"g{k}"), F.col("middle").alias(f"m{k}"))
+        side = nodes.select("kind", "initial", F.col("token").alias(f"t{k}"), F.col("uses").alias(f"u{k}"), F.col("people").alias(f"p{k}"))
         pairs = pairs.join(side, ["kind", "initial", f"t{k}"])
     total = nodes.agg(F.sum("uses").alias("all_uses"))
     initials = nodes.groupBy("kind", "initial").agg(F.sum("uses").alias("initial_uses"))
     rarity = lambda n: F.log(F.lit(1.0) + F.col("all_uses") / n)
     w_rare, w_given = rarity(F.greatest("u1", "u2")), rarity(F.col("initial_uses"))
     s_rare = 1 - 1 / F.greatest(F.length("t1"), F.length("t2"))
-    s_given = F.when(F.col("g1") == F.col("g2"), 1.0).when(F.col("g1").isNull() | F.col("g2").isNull(), 0.9).otherwise(0.8)
-    soft = (w_rare * s_rare + w_given * s_given) / (w_rare + w_given)
-    agree = F.coalesce(_near(F.col("g1"), F.col("g2")), F.lit(True)) & F.coalesce(F.col("m1") == F.col("m2"), F.lit(True))
-    verified = pairs.where(agree & one_error(F.col("t1"), F.col("t2"))).join(F.broadcast(total)).join(initials, ["kind", "initial"]).where(soft >= alike)
+
+    def likeness(a: Column, b: Column) -> Column:
+        """How alike two people's given names are; null if those or their middle initials contradict."""
+        agree = F.coalesce(_near(a["given"], b["given"]), F.lit(True)) & F.coalesce(a["middle"] == b["middle"], F.lit(True))
+        return F.when(agree, F.when(a["given"] == b["given"], 1.0).when(a["given"].isNull() | b["given"].isNull(), 0.9).otherwise(0.8))
+
+    best = F.array_max(F.transform("p1", lambda a: F.array_max(F.transform("p2", lambda b: likeness(a, b)))))
+    soft = (w_rare * s_rare + w_given * F.col("s_given")) / (w_rare + w_given)
+    near = pairs.where(one_error(F.col("t1"), F.col("t2"))).withColumn("s_given", best).where("s_given is not null")
+    verified = near.join(F.broadcast(total)).join(initials, ["kind", "initial"]).where(soft >= alike)
     roots = _stars(nodes, verified, ["kind", "initial"])
     rows = rows.join(roots.withColumnsRenamed({"token": "rare", "head": "root"}), ["kind", "initial", "rare"], "left").withColumn("root", F.coalesce("root", "rare")).drop("rare")
     rows = written(rows, "rooted")

@@ -98,6 +98,16 @@ def test_one_error(spark):
     assert {frozenset((word, w)) for w in made} <= found
 
 
+def test_names_of_a_shared_surname(spark):
+    """A typing error is held against everyone of the surname and initial, not only the most used."""
+    uses = [("John B. Smithson", 9), ("J. Smithson", 2), ("James A. Smithson", 4), ("James A. Smithsno", 1), ("J. A. Smithosn", 1), ("Justine Smithsun", 1)]
+    got = {tuple(r) for r in same_names(spark.createDataFrame([(v,) for v, n in uses for _ in range(n)], "val string"), "val").collect()}
+    assert ("James A. Smithsno", "James A. Smithson") in got
+    assert not any({"John B. Smithson", "Justine Smithsun"} & set(p) for p in got)
+    roots = {r["val"]: r["root"] for r in name_clusters(spark.createDataFrame([(v,) for v, n in uses for _ in range(n)], "val string"), "val").collect()}
+    assert roots["J. A. Smithosn"] == "smithson" and roots["Justine Smithsun"] == "smithsun"
+
+
 def test_names(spark):
     same = [["Margaret C. Stonewall", "M. Stonewall", "STONEWALL Margaret", "Stonewall, M. C.", "Peggy Stonewall", "margaret stonewal", "Margaret Stónewall"], ["Daniel Stonewall", "D Stonewall", "Dan Stonewall"], ["ABCDE Collaboration", "The ABCDE Collab."], ["Ted Rockfall", "T. Rockfall", "Theodore Rockfall"]]
     apart = ["Margaret Riverbed", "R. Stonewall", "Jon Onlyone", "???", "Charles Lakeside", "Christine Lakeside", "C. Lakeside"]
