@@ -27,6 +27,13 @@ def p5_citing_papers(spark: SparkSession, folder: str) -> DataFrame:
     return salted_distinct_count(links, "pastid", "futureid", "citing")
 
 
+def p5_citing_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of citing papers of every paper of pcite or meta_data, and of every other that is cited; 0 where there is none."""
+    known = table(spark, folder, "pcite", "id").unionByName(table(spark, folder, "meta_data", "id")).where("id is not null").select(F.col("id").alias("pastid")).distinct()
+    counted = p5_citing_papers(spark, folder)
+    return known.join(counted, "pastid", "full").select("pastid", F.coalesce("citing", F.lit(0).cast("bigint")).alias("citing"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     links = table(spark, folder, "links", "linkid", "pastid", "futureid", "pastpaper", "seenat")
     return link_orphans(links, table(spark, folder, "meta_data", "id", "arxiv", "status", "loadedat"))
@@ -36,7 +43,7 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_report(p7_found(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_citing_papers, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_citing_papers, p5_citing_all, p7_found, p7_report)}
 
 _ORPHANS = r"""
     with one as (select id, max(loadedat) as m, min(loadedat) as firstat from meta_data group by id),
@@ -67,6 +74,9 @@ ORACLES = {
         select id, fieldname, cast(unnest(range(1, len(l) + 1)) as bigint) as slot, unnest(l) as val from b""",
     "p5_found": f"select distinct p.id from pcite p left join ({_CITING}) c on p.id = c.pastid where p.numcites is not null and p.numcites <> coalesce(c.citing, 0)",
     "p5_citing_papers": _CITING,
+    "p5_citing_all": f"""
+        with c as ({_CITING}), k as (select id from pcite where id is not null union select id from meta_data where id is not null union select pastid from c)
+        select k.id as pastid, coalesce(c.citing, 0) as citing from k left join c on k.id = c.pastid""",
     "p7_found": _ORPHANS + "select linkid, reffield, kind, period from found where kind is not null",
     "p7_report": _ORPHANS + "select reffield, kind, period, count(*) as orphans from found where kind is not null group by reffield, kind, period",
 }

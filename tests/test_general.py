@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators.orphans import bare_code, link_orphans, orphan_references
 from orrery.operators.skew import count_mismatches, heavy_keys, salted_aggregate, salted_distinct_count
+from orrery.plans import general_queries
 from orrery.sources.tables import current_rows
 from tests.conftest import in_order, rows_of
 
@@ -36,6 +37,14 @@ def test_salted_distinct_count(spark):
     assert salted_distinct_count(df.limit(0), "k", "v", "n").count() == 0
 
 
+def test_citing_all(spark, tmp_path):
+    """Papers that nobody cites count 0."""
+    folder = str(tmp_path)
+    for name, rows, schema in (("pcite", [(1,), (2,), (2,)], "id bigint"), ("meta_data", [(3,), (None,)], "id bigint"), ("links", [(1, 2), (1, 2), (1, 3), (9, 1), (None, 1)], "pastid bigint, futureid bigint")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    assert rows_of(general_queries.p5_citing_all(spark, folder).select(F.col("pastid").alias("a"), F.col("citing").alias("b"))) == [(1, 2), (2, 0), (3, 0), (9, 1)]
+
+
 def test_salted_aggregate(spark):
     df = spark.createDataFrame([(1, k, k % 3) for k in range(100)] + [(2, 5, 1), (None, 4, 2), (None, None, 2)], "k int, __v int, v int")
     got = salted_aggregate(df, "k", {"s": F.sum("__v"), "c": F.count(F.lit(1))}, {"s": F.sum("s"), "c": F.sum("c")}, salts=8, share=0.3)
