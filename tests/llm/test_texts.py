@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from itertools import product
 from pathlib import Path
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from orrery.llm.leaks import WuManber, leaks, words
+from orrery.llm.leaks import WuManber, leaks, pieces, words
 from orrery.llm.packing import PIECES, VOCABULARY, TokenCounter, best_two_fit, pack, token_counts
 from orrery.llm.spans import Anchors, shared_classes, shared_pairs, shared_share
 from tests.conftest import in_order, rows_of
@@ -23,19 +24,58 @@ def text_of(rng, n):
 
 def test_words():
     assert words("Con­fident, *ﬁling* _x_ don’t\n> BOUN-\n> dary  a‐b 3.5") == ["confident", "filing", "x", "don", "t", "boundary", "a", "b", "3", "5"]
-    assert words("non-\nspecialist", {"non", "specialist"}) == ["non", "specialist"]
-    assert words("non-\nspecialist", {"non", "specialist", "nonspecialist"}) == ["nonspecialist"]
+    assert words("non-\nspecialist-\n > al x") == ["nonspecialistal", "x"]
+    assert pieces("a non-\nspecialist b-c-\nd") == (["a", "non", "specialist", "b", "c", "d"], [2, 5])
     assert words(None) == words("") == words("...") == []
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcd"), max_size=9), max_size=4), st.lists(st.sampled_from("abcde"), max_size=40), st.integers(2, 4))
 def test_wu_manber(items, text, m):
-    found = WuManber([(k, " ".join(t)) for k, t in enumerate(items)], m).search(" ".join(text))
+    found = WuManber([(k, " ".join(t)) for k, t in enumerate(items)], m).search(*pieces(" ".join(text)))
     runs = {tuple(text[k : k + m]) for k in range(len(text) - m + 1)}
     assert found == {k for k, t in enumerate(items) if any(tuple(t[j : j + m]) in runs for j in range(len(t) - m + 1))}
 
 
+def readings(text):
+    """All readings of a text with broken words, by brute force."""
+    parts, glued = pieces(text)
+    out = []
+    for choice in product((False, True), repeat=len(glued)):
+        joined, one = {k for k, c in zip(glued, choice) if c}, []
+        for k, w in enumerate(parts):
+            if k in joined:
+                one[-1] += w
+            else:
+                one.append(w)
+        out.append(one)
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["a", "b", "ab", "ba"]), st.sampled_from([" ", " ", "-\n"])), max_size=7), max_size=3), st.lists(st.tuples(st.sampled_from(["a", "b", "ab", "aba", "c"]), st.sampled_from([" ", " ", "-\n"])), max_size=9), st.integers(2, 4))
+def test_broken_words(items, text, m):
+    """Either reading of every broken word counts, mixed ones too, and an item is found alone as beside others."""
+    runs = lambda t: {tuple(r[k : k + m]) for r in readings(t) for k in range(len(r) - m + 1)}
+    whole = lambda t: "".join(w + s for w, s in t)
+    have, texts = runs(whole(text)), [(k, whole(t)) for k, t in enumerate(items)]
+    want = {k for k, t in texts if runs(t) & have}
+    assert WuManber(texts, m).search(*pieces(whole(text))) == want
+    assert {k for k, t in texts if WuManber([(k, t)], m).search(*pieces(whole(text)))} == want
+
+
+def test_leaks_by_item(spark):
+    """What an item finds doesn't depend on the items beside it, nor on the blocks."""
+    a = "one two three four five six well known seven eight nine ten eleven twelve"
+    docs = [(1, a.replace("well known", "well-\nknown")), (2, a.replace("well known", "wellknown")), (3, a.replace("well known", "well-known"))]
+    items = [(1, a), (2, "a text with the word wellknown in it and some others to make it long enough"), (3, a.replace("well known", "wellknown"))]
+    ddf = spark.createDataFrame(docs, "doc_id bigint, text string")
+    alone = {tuple(r) for i in items for r in leaks(ddf, spark.createDataFrame([i], "item_id bigint, text string")).collect()}
+    assert alone == {(1, 1), (1, 3), (2, 3), (3, 1)}
+    for chars, tables in ((10**6, 8), (1, 1), (1, 2)):
+        assert {tuple(r) for r in leaks(ddf, spark.createDataFrame(items, "item_id bigint, text string"), block_chars=chars, tables=tables).collect()} == alone
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     items = [(i, text_of(rng, 40)) for i in range(20)] + [(20, "too short"), (21, ""), (22, None), (None, text_of(rng, 40))]
