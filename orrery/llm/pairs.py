@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.session import written
+
 
 def item_pairs(df: DataFrame, items: Column) -> DataFrame:
     """(a, b, n_ab, n_a, n_b, n, lift, pmi) for every two items a < b that share a basket.
@@ -13,13 +15,15 @@ def item_pairs(df: DataFrame, items: Column) -> DataFrame:
     ones left out; a null or empty basket counts nowhere, a basket of one item only in the marginals. n counts baskets with any
     item. Pairs are emitted in order, as a stream, and their counts combined before the shuffle, so that it carries distinct
     pairs rather than occurrences. The marginals are counted with the pairs: an item by itself is the pair (a, null), the basket
-    (null, null); one aggregation gives all.
+    (null, null). One pass over the baskets and one aggregation give all counts, which are written; the rest reads these.
     """
     basket = df.select(F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != "")))).alias("__items")).where(F.size("__items") > 0)
-    heads = basket.select(F.concat(F.array(F.lit(None).cast("string")), F.col("__items")).alias("__with"), F.posexplode_outer(F.concat(F.array(F.lit(None).cast("string")), F.col("__items"))).alias("__k", "a"))
-    # For item number k, its partners are the items after it; the null in front stands for the marginal.
-    partners = F.when(F.col("__k") == 0, F.array(F.lit(None).cast("string"))).otherwise(F.concat(F.array(F.lit(None).cast("string")), F.slice("__with", F.col("__k") + 2, F.greatest(F.size("__with") - F.col("__k") - 1, F.lit(0)))))
-    counts = heads.select("a", F.explode_outer(partners).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    null = F.array(F.lit(None).cast("string"))
+    heads = basket.select(F.posexplode(F.concat(null, "__items")).alias("__k", "a"), "__items")
+    # The partners of item number k are the items after it; the null in front stands for the marginal.
+    after = F.when(F.col("__k") > 0, F.slice("__items", F.col("__k") + 1, F.greatest(F.size("__items") - F.col("__k"), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    counts = heads.select("a", F.explode(F.concat(null, after)).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    counts = written(counts, "pairs")
     pairs = counts.where("a is not null and b is not null").withColumnRenamed("c", "n_ab")
     ones = counts.where("a is not null and b is null")
     total = counts.where("a is null").select(F.col("c").alias("n"))

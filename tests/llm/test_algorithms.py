@@ -3,12 +3,17 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from orrery.llm.names import common_given_names, name_clusters, one_error, parse_name, same_names, similar_tokens, spellings
 from orrery.llm.pairs import item_pairs, lifted
-from orrery.llm.terms import marked_terms, normal_term, term_bitmaps
+from orrery.llm import terms as T
+from orrery.llm.terms import decoded, marked_terms, normal_term, term_bitmaps
 from orrery.llm.topn import top_n
 from tests.conftest import in_order, rows_of
 
@@ -29,9 +34,36 @@ def test_terms(spark):
     got = marked_terms(df, "id", F.col("k"), common_above=0.1)
     assert rows_of(got.select(F.col("term").alias("a"), F.col("uses").alias("b"), F.col("records").alias("c"), F.col("mark").alias("d"))) == in_order((k, uses[k], len(docs[k]), mark(len(docs[k]))) for k in uses)
     assert marked_terms(df.limit(0), "id", F.col("k")).count() == 0
-    # A word holds 64 identifiers; the same record twice sets one bit and two uses.
-    two = spark.createDataFrame([(64, ["x", "x"]), (127, ["x"]), (128, ["x"]), (64, ["x"])], "id bigint, k array<string>")
-    assert sorted((r["word"], bin(r["bits"] % (1 << 64)).count("1"), r["uses"]) for r in term_bitmaps(two, "id", F.col("k")).collect()) == [(1, 2, 4), (2, 1, 1)]
+    # The same record twice sets one bit and counts two uses; the row of a null term is the union.
+    edge = 1 << T.CONTAINER
+    two = spark.createDataFrame([(64, ["x", "x"]), (edge - 1, ["x", "y"]), (edge, ["x"]), (64, ["x"]), (-1, ["y"]), (None, ["x"])], "id bigint, k array<string>")
+    got = {(r["term"], r["container"]): (decoded(bytes(r["bits"])).tolist(), r["records"], r["uses"]) for r in term_bitmaps(two, "id", F.col("k")).collect()}
+    assert got[("x", 0)] == ([64, edge - 1], 2, 4) and got[("x", 1)] == ([0], 1, 1) and got[("y", 0)] == ([edge - 1], 1, 1) and got[("y", -1)] == ([edge - 1], 1, 1)
+    assert got[("x", None)] == ([], 0, 1) and got[(None, 0)][0] == [64, edge - 1] and len(got) == 9
+
+
+def test_terms_in_pieces(spark, monkeypatch):
+    """A container whose occurrences come in many pieces is merged by union."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(50), [f"t{rng.randrange(9)}" for _ in range(3)]) for _ in range(400)]
+    sets, uses = {}, {}
+    for i, ks in rows:
+        for k in ks:
+            sets.setdefault(k, set()).add(i)
+            uses[k] = uses.get(k, 0) + 1
+    monkeypatch.setattr(T, "HELD", 20)
+    batches = [pa.RecordBatch.from_arrays([pa.array([c] * len(p)), pa.array([i for i, _ in p]), pa.array([k for _, k in p])], ["container", "place", "term"]) for c, p in ((0, [(i, k) for i, ks in rows[j : j + 10] for k in ks]) for j in range(0, 400, 10))]
+    got = pa.Table.from_batches(list(T._containers(iter(batches)))).to_pylist()
+    assert {r["term"]: (set(decoded(r["bits"]).tolist()), r["uses"]) for r in got if r["term"]} == {k: (sets[k], uses[k]) for k in sets}
+    assert [set(decoded(r["bits"]).tolist()) for r in got if r["term"] is None] == [{i for i, _ in rows}]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**20 - 1), unique=True, max_size=30), max_size=6))
+def test_encoding(sets):
+    number = np.array([k for k, s in enumerate(sets) for _ in s], dtype=np.int64)
+    raw, offsets = T.encoded(number, np.array([p for s in sets for p in sorted(s)], dtype=np.int64), len(sets))
+    assert [decoded(raw[a:b].tobytes()).tolist() for a, b in zip(offsets, offsets[1:])] == [sorted(s) for s in sets]
 
 
 def test_normal_term(spark):
@@ -70,6 +102,9 @@ def test_pairs(spark):
     high = {(r["a"], r["b"]) for r in lifted(item_pairs(df, F.col("i")), 3, 1).collect()}
     assert high == {p for p, c in two.items() if c >= 3 and n * c >= one[p[0]] * one[p[1]]}
     assert item_pairs(df.limit(0), F.col("i")).count() == 0
+    # Pairs are emitted once: the result is read from the written counts.
+    plan = item_pairs(df, F.col("i"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Scan parquet") >= 1
     # One very large basket is emitted as a stream.
     big = spark.createDataFrame([([f"x{k:04d}" for k in range(300)],)], "i array<string>")
     assert item_pairs(big, F.col("i")).count() == 300 * 299 // 2
