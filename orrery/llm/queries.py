@@ -13,6 +13,7 @@ from orrery.llm.spans import shared_classes, shared_pairs, shared_share
 from orrery.llm.terms import marked_terms, normal_term
 from orrery.llm.topn import top_n
 from orrery.operators.packed import AUTHORS, CATEGORIES, unpack_rows, unpacked
+from orrery.session import written
 from orrery.sources.tables import current_rows, table
 
 
@@ -51,6 +52,21 @@ def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack(token_counts(table(spark, folder, "documents", "doc_id", "text")))
 
 
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of a packing, one row: documents, containers over their capacity, documents cut though they fit, places used
+    twice or left out, documents lost or doubled, and whether less than a hundredth of the room is empty."""
+    sizes = written(token_counts(table(spark, folder, "documents", "doc_id", "text")), "sizes")
+    packed = written(pack(sizes), "packed")
+    each = packed.groupBy("container").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.count_distinct("place").alias("p"), F.max("place").alias("m"))
+    bins = each.agg(F.sum((F.col("n") > 2048).cast("bigint")).alias("overfull"), F.sum(((F.col("p") != F.col("k")) | (F.col("m") != F.col("k") - 1)).cast("bigint")).alias("misplaced"), (F.sum("n") >= 0.99 * 2048 * (F.count(F.lit(1)) - 1)).alias("full"))
+    whole = packed.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.count_distinct("part").alias("k"))
+    docs = sizes.join(whole, "doc_id", "full").agg(
+        F.count("n_tokens").alias("documents"), F.sum(((F.col("n_tokens") <= 2048) & (F.col("parts") > 1)).cast("bigint")).alias("cut"),
+        F.sum((~F.coalesce((F.col("n") == F.col("n_tokens")) & (F.col("parts") == F.col("k")), F.lit(False))).cast("bigint")).alias("lost"),
+    )
+    return docs.join(bins).select("documents", "overfull", "cut", "misplaced", "lost", "full")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text"))
 
@@ -67,7 +83,7 @@ def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
     return shared_classes(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_pairs, p6_found, p8_pack, p9_found, p10_found, p10_classes, p10_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_pairs, p6_found, p8_pack, p8_report, p9_found, p10_found, p10_classes, p10_share)}
 
 _CURRENT = "select distinct m.* from meta_data m join (select id as i, max(loadedat) as t from meta_data group by id) on m.id = i and m.loadedat = t"
 _TERMS = rf"""
@@ -88,6 +104,12 @@ _CATS = rf"""
 _EVAL_WORDS = r"regexp_extract_all(regexp_replace(replace(replace(replace(lower({0}), chr(64257), 'fi'), chr(64258), 'fl'), chr(64256), 'ff'), '(­\s*\n[\s>]*|­|([a-z0-9])[-‐][ \t\r]*\n[\s>|]*([a-z0-9]))', '\2\3', 'g'), '[\p{{L}}\p{{N}}]+')"
 _RUNS = "select {0} as k, array_to_string(list_slice(w, i, i + 12), ' ') as run from (select {0}, w, unnest(range(1, len(w) - 11)) as i from (select {0}, {1} as w from {2}) where len(w) >= 13)"
 
+_SPANS = """
+        w as (select doc_id, i, hash(substr(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300)),
+        g as (select h from w group by h having count(distinct doc_id) > 1),
+        m as (select distinct doc_id, h from w where h in (select h from g))"""
+_PAIRS = "select distinct a.doc_id as doca, b.doc_id as docb from m a join m b on a.h = b.h and a.doc_id < b.doc_id"
+
 ORACLES = {
     "p1_found": f"select keyword, mark from ({_TERMS}) where mark is not null",
     "p1_terms": _TERMS,
@@ -101,9 +123,18 @@ ORACLES = {
     "p9_found": f"""
         with d as ({_RUNS.format("doc_id", _EVAL_WORDS.format("text"), "documents")}), e as (select distinct k, run from ({_RUNS.format("item_id", _EVAL_WORDS.format("text"), "eval_items")}))
         select distinct d.k as doc_id, e.k as item_id from d join e on d.run = e.run""",
-    "p10_found": """
-        with w as (select doc_id, hash(substr(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300)),
-        g as (select h from w group by h having count(distinct doc_id) > 1),
-        m as (select distinct doc_id, h from w where h in (select h from g))
-        select distinct a.doc_id as doca, b.doc_id as docb from m a join m b on a.h = b.h and a.doc_id < b.doc_id""",
+    "p8_report": "select count(*) as documents, 0 as overfull, 0 as cut, 0 as misplaced, 0 as lost, true as full from documents",
+    "p10_found": f"with {_SPANS} {_PAIRS}",
+    "p10_share": f"""
+        with {_SPANS}, s as (select distinct doc_id, i from w where h in (select h from g)),
+        o as (select doc_id, i, lag(i) over (partition by doc_id order by i) as p from s),
+        c as (select doc_id, count(*) filter (where p is null or i - p > 300) as spans, sum(least(300, coalesce(i - p, 300)))::bigint as chars from o group by doc_id)
+        select d.doc_id, coalesce(length(text), 0) as n_chars, coalesce(spans, 0) as spans, coalesce(chars, 0) as shared_chars, case when length(text) > 0 then coalesce(chars, 0) / length(text)::double else 0.0 end as share
+        from documents d left join c on d.doc_id = c.doc_id""",
+    "p10_classes": f"""
+        with {_SPANS}, f as ({_PAIRS}),
+        k as (select doc_id, case when length(text) >= 300 then min(doc_id) over (partition by text) else doc_id end as class from documents),
+        l as (select distinct a.class as x, b.class as y from f join k a on f.doca = a.doc_id join k b on f.docb = b.doc_id where a.class <> b.class),
+        n as (select x, count(*) as links from (select x, y from l union select y, x from l) group by x)
+        select doc_id, class, count(*) over (partition by class) as copies, coalesce(links, 0) as links from k left join n on class = x""",
 }

@@ -34,6 +34,12 @@ SLICE = 1 << 20
 HELD = 4_000_000
 #: Rows of a group that are compared with one another in one piece.
 CELL = 512
+#: log2 of the bits of the set of copies that is broadcast (16 MB), and the tasks that build it.
+COPY_BITS, COPY_TASKS = 27, 16
+#: Anchors of equal gram that one task holds, and rows that are numbered at once; beyond the first a group is dealt to tasks by document.
+GROUP, BATCH = 65_536, 16_384
+#: A stretch common to more texts than this is counted by sets of texts, not by pairs.
+LARGE = 128
 
 _BASE = 0x9E3779B97F4A7C15 | 5
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -106,15 +112,55 @@ def _counters(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(32))) * _MIX >> np.uint64(64 - width)).astype(np.int64)
 
 
-def sketch(texts: DataFrame, span: int, reach: int = REACH, width: int = WIDTH, rows: int = ROWS) -> np.ndarray:
+def _bits_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and mask of an identifier's two bits in the set of copies."""
+    h = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
+    at = np.stack((h >> np.uint64(64 - COPY_BITS), (h * _ROW_MIX[1]) >> np.uint64(64 - COPY_BITS))).astype(np.int64)
+    return at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
+
+
+def copy_bits(copies: DataFrame) -> np.ndarray:
+    """A bit set of fixed size that holds every identifier of copies(doc), and few others; built in the tasks, united on the driver."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << COPY_BITS >> 3, dtype=np.uint8)
+        some = False
+        for batch in batches:
+            if batch.num_rows:
+                byte, mask = _bits_of(batch.column(0).to_numpy(zero_copy_only=False))
+                np.bitwise_or.at(bits, byte.ravel(), mask.ravel())
+                some = True
+        if some:
+            for part, piece in enumerate(np.split(bits, 64)):
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pa.compress(piece.tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["part", "bits"])
+
+    out = np.zeros(1 << COPY_BITS >> 3, dtype=np.uint8)
+    size = len(out) // 64
+    # Few tasks, as each sends a whole set; only identifiers are moved.
+    for part, bits in copies.select("doc").coalesce(COPY_TASKS).mapInArrow(build, "part bigint, bits binary").toLocalIterator():
+        out[part * size : (part + 1) * size] |= np.frombuffer(pa.decompress(bytes(bits), size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return out
+
+
+def _suspect(docs: pa.Array, bits: np.ndarray | None) -> np.ndarray:
+    if bits is None:
+        return np.zeros(len(docs), dtype=bool)
+    byte, mask = _bits_of(docs.to_numpy(zero_copy_only=False))
+    return ((bits[byte] & mask) != 0).all(axis=0)
+
+
+def sketch(texts: list[tuple[DataFrame, np.ndarray | None]], span: int, reach: int = REACH, width: int = WIDTH, rows: int = ROWS) -> np.ndarray:
     """One bit per counter, (rows, 2^width / 8) bytes: set where two or more records, or a record in two slices, fell.
 
-    texts(__d, __t). Each task sends the occupied counters of its own anchors as sorted differences; a segment of counters is
+    texts: tables (__d, __t), each with the bit set of those that it leaves out, or None. Each task sends the occupied counters of its own anchors as sorted differences; a segment of counters is
     merged in one task as a stream, in memory of the segment's size. The driver gets the merged bits, whose size is fixed.
     """
     cut = min(SEGMENT, width)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def built(skip):
+        return lambda batches: build(batches, skip)
+
+    def build(batches: Iterator[pa.RecordBatch], skip) -> Iterator[pa.RecordBatch]:
         find, held, n = Anchors(span, reach), [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
@@ -130,7 +176,7 @@ def sketch(texts: DataFrame, span: int, reach: int = REACH, width: int = WIDTH,
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.int32()))], ["row", "seg", "code", "n"])
 
         for batch in batches:
-            for number, _, hashes in find(batch.column(1).to_pylist()):
+            for number, _, hashes in find(batch.column(1).filter(pa.array(~_suspect(batch.column(0), skip and skip.value))).to_pylist()):
                 both = np.lexsort((hashes, number))
                 fresh = np.concatenate(([True], (np.diff(hashes[both]) != 0) | (np.diff(number[both]) != 0)))[: len(both)]
                 held.append(hashes[both][fresh])
@@ -160,7 +206,10 @@ def sketch(texts: DataFrame, span: int, reach: int = REACH, width: int = WIDTH,
         if now:
             yield done()
 
-    parts = texts.mapInArrow(build, "row int, seg int, code binary, n int")
+    parts = None
+    for df, bits in texts:
+        part = df.mapInArrow(built(None if bits is None else df.sparkSession.sparkContext.broadcast(bits)), "row int, seg int, code binary, n int")
+        parts = part if parts is None else parts.unionByName(part)
     merged = parts.repartition("row", "seg").sortWithinPartitions("row", "seg").mapInArrow(merge, "row int, seg int, bits binary")
     out = np.zeros((rows, 1 << width >> 3), dtype=np.uint8)
     size = 1 << cut >> 3
@@ -169,19 +218,22 @@ def sketch(texts: DataFrame, span: int, reach: int = REACH, width: int = WIDTH,
     return out
 
 
-def repeated_anchors(texts: DataFrame, bits: np.ndarray, span: int, reach: int = REACH, width: int = WIDTH, every: bool = False) -> DataFrame:
-    """(gram, doc, at, before, after) of the anchors that the sketch has as repeated; gram is a 128-bit digest.
+def repeated_anchors(texts: DataFrame, bits: np.ndarray, span: int, reach: int = REACH, width: int = WIDTH, every: bool = False, skip: np.ndarray | None = None) -> DataFrame:
+    """(gram, doc, at, before, after) of the anchors that the sketch has as repeated; gram is a 128-bit digest. ``skip``: bit set of
+    identifiers to leave out.
 
     Anchors of equal surroundings are one row of their text: they prove the same. ``at`` is the first one's place, with ``every`` the
     list of all their places.
     """
     kind, schema = (pa.list_(pa.int64()), "array<bigint>") if every else (pa.int64(), "bigint")
     sent = texts.sparkSession.sparkContext.broadcast(bits)
+    left_out = None if skip is None else texts.sparkSession.sparkContext.broadcast(skip)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, table = Anchors(span, reach), sent.value
         gram, side = find.gram, reach + 1
         for batch in batches:
+            batch = batch.filter(pa.array(~_suspect(batch.column(0), left_out and left_out.value)))
             docs, body = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for number, position, hashes in find(body):
                 keep = np.ones(len(hashes), dtype=bool)
@@ -244,18 +296,7 @@ def _codes(texts: list[str], side: int, backward: bool) -> np.ndarray:
     return out
 
 
-def _runs(places: list[int], left: int, right: int) -> Iterator[tuple[int, int]]:
-    """The stretches from ``left`` before to ``right`` after each of the ascending places, those that touch or overlap as one."""
-    begin = last = places[0]
-    for at in places[1:]:
-        if at - left > last + right:
-            yield begin - left, last + right
-            begin = at
-        last = at
-    yield begin - left, last + right
-
-
-def _compare(reach: int, want: str, gram: int):
+def _compare(reach: int):
     side = reach + 1
 
     def results(rows: list[tuple], lead: int) -> Iterator[tuple]:
@@ -263,44 +304,36 @@ def _compare(reach: int, want: str, gram: int):
         first = [r for r in rows if r[0] == rows[0][0]]
         second = [r for r in rows if r[0] != rows[0][0]]
         crossed = bool(second)
-        second = second or first
         # Rows of equal surroundings are compared once.
         kinds = {}
         for half, part in enumerate((first, second) if crossed else (first,)):
             for r in part:
-                kinds.setdefault((r[3], r[4]), ([], []))[half].append((r[1], r[2]))
+                kinds.setdefault((r[3], r[4]), ([], []))[half].append(r[1])
         keys = list(kinds)
-        if want == "pairs" and len(keys) == 1 and len(keys[0][0]) == side:
+        if len(keys) == 1 and len(keys[0][0]) == side:
             return
         before, after = _codes([k[0] for k in keys], side, True), _codes([k[1] for k in keys], side, False)
         for begin in range(0, len(keys), 256):
             left = _common(before[begin : begin + 256], before)
             right = _common(after[begin : begin + 256], after)
-            good = left + right >= reach
-            if want == "pairs":
-                good &= left == lead if lead >= 0 else left <= reach  # only where the stretch begins; further on it is found again
+            # Only where the stretch begins; further on it is found again.
+            good = (left + right >= reach) & (left == lead if lead >= 0 else left <= reach)
             for i, j in zip(*np.nonzero(good)):
                 a, b = kinds[keys[begin + i]], kinds[keys[j]]
-                if want == "pairs":
-                    if crossed or i + begin <= j:
-                        yield from ((min(p, q), max(p, q)) for p, _ in a[0] for q, _ in b[1 if crossed else 0] if p != q)
-                else:
-                    l, r = int(left[i, j]), int(right[i, j])
-                    for here, there in ((0, 1), (1, 0)) if crossed else ((0, 0),):
-                        others = {q for q, _ in b[there]}
-                        yield from ((p, *run) for p, places in a[here] if others - {p} for run in _runs(places, l, gram + r))
+                if crossed or i + begin <= j:
+                    yield from ((min(p, q), max(p, q)) for p in a[0] for q in b[1 if crossed else 0] if p != q)
 
     return results
 
 
-def _compared(anchors: DataFrame, span: int, reach: int, want: str, schema: str) -> DataFrame:
-    """The cells' results, each cell read as a stream of sorted rows."""
+def _compared(anchors: DataFrame, reach: int) -> DataFrame:
+    """(a, b) of the cells, each cell read as a stream of sorted rows. For results that are pairs: all others are made from groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        results, now, rows, names = _compare(reach, want, span - reach), None, [], [f.split()[0] for f in schema.split(", ")]
+        results, now, rows = _compare(reach), None, []
 
         def sent(found: set) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
         found: set = set()
         for batch in batches:
@@ -320,7 +353,126 @@ def _compared(anchors: DataFrame, span: int, reach: int, want: str, schema: str)
 
     cell = ["gram", "key", "lead", "x", "y"]
     cells = _cells(anchors, reach).repartition(*cell).sortWithinPartitions(*cell, "block")
-    return cells.mapInArrow(run, schema)
+    return cells.mapInArrow(run, "a bigint, b bigint")
+
+
+def _ranks(codes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """(rows, columns + 1): for each number of leading codes, a number that rows of one group share if, and only if, those codes are equal."""
+    out = np.empty((len(codes), codes.shape[1] + 1), dtype=np.int64)
+    now = np.unique(group, return_inverse=True)[1]
+    out[:, 0] = now
+    for k in range(codes.shape[1]):
+        now = np.unique((now << 22) | codes[:, k].astype(np.int64), return_inverse=True)[1]
+        out[:, k + 1] = now
+    return out
+
+
+def _members(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(count, signature) for each row: of the distinct documents among the rows of equal code; the signature is a sum of hashes."""
+    order = np.lexsort((doc, code))
+    c, d = code[order], doc[order]
+    new = np.concatenate(([True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])))
+    begin = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+    count = np.add.reduceat(new.astype(np.int64), begin)
+    sign = np.add.reduceat(np.where(new, _signed(d), np.uint64(0)), begin)
+    size = np.diff(np.append(begin, len(c)))
+    counts, signs = np.empty(len(c), dtype=np.int64), np.empty(len(c), dtype=np.uint64)
+    counts[order], signs[order] = np.repeat(count, size), np.repeat(sign, size)
+    return counts, signs
+
+
+def _signed(docs: np.ndarray) -> np.ndarray:
+    h = (docs.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * _ROW_MIX[2]
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def shared_windows(anchors: DataFrame, reach: int, group: int | None = None, batch_rows: int | None = None) -> DataFrame:
+    """(doc, at, low, high, members, sign): the windows around anchors that stand in two or more documents.
+
+    A window holds the gram with n of the span's other characters before it; ``low`` and ``high`` are a run of n for which the window stands in the
+    same ``members`` documents; ``sign``, a sum of their hashes, tells that set from others. No two rows of a group are compared:
+    for each n, rows are numbered by their n characters before and their reach - n after, and documents are counted by number, so that the work
+    is in proportion to the rows, however many share a gram. A gram with more than ``group`` anchors is dealt to many tasks.
+    """
+    group, batch_rows = group or GROUP, batch_rows or BATCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def results(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(rows)
+            grams, docs = t.column("gram").to_pylist(), t.column("doc").to_numpy()
+            number = np.cumsum([0] + [a != b for a, b in zip(grams, grams[1:])])
+            before, after = [x[-reach:] for x in t.column("before").to_pylist()], [x[:reach] for x in t.column("after").to_pylist()]
+            front = _ranks(_codes(before, reach, True), number)
+            back = _ranks(_codes(after, reach, False), number)
+            have_b, have_a = (np.array([len(x) for x in part]) for part in (before, after))
+            counts = np.ones((len(docs), reach + 1), dtype=np.int64)
+            signs = np.zeros((len(docs), reach + 1), dtype=np.uint64)
+            for lead in range(reach + 1):
+                some = np.flatnonzero((have_b >= lead) & (have_a >= reach - lead))
+                if len(some) > 1:
+                    c, s = _members((front[some, lead] << 32) | back[some, reach - lead], docs[some])
+                    counts[some, lead], signs[some, lead] = c, s
+            shared = counts > 1
+            edge = np.zeros((len(docs), reach + 2), dtype=bool)
+            edge[:, 0] = edge[:, -1] = True
+            edge[:, 1:-1] = (counts[:, 1:] != counts[:, :-1]) | (signs[:, 1:] != signs[:, :-1]) | (shared[:, 1:] != shared[:, :-1])
+            row, low = np.nonzero(edge[:, :-1] & shared)
+            # The run goes up to the next edge of its row.
+            flat = np.flatnonzero(edge.ravel())
+            high = flat[np.searchsorted(flat, row * (reach + 2) + low, side="right")] - row * (reach + 2) - 1
+            return pa.RecordBatch.from_arrays(
+                [t.column("doc").combine_chunks().take(pa.array(row)), t.column("at").combine_chunks().take(pa.array(row)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(counts[row, low]), pa.array(signs[row, low].view(np.int64))],
+                ["doc", "at", "low", "high", "members", "sign"],
+            )
+
+        for batch in batches:
+            # Whole groups only: the last one of a batch may go on in the next.
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n >= batch_rows:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                grams = rows.column("gram")
+                last = grams[-1].as_py()
+                k = n
+                while k and grams[k - 1].as_py() == last:
+                    k -= 1
+                if k:
+                    yield results(rows.slice(0, k).to_batches())
+                held, n = rows.slice(k).to_batches(), n - k
+        if n:
+            yield results(held)
+
+    counts = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("__n"))
+    grouped = anchors.join(counts.where("__n > 1"), "gram")
+    columns = ["gram", "doc", "at", "before", "after"]
+    kind = dict(anchors.dtypes)["at"]
+    few = grouped.where(F.col("__n") <= group).select(*columns).repartition("gram").sortWithinPartitions("gram")
+    out = few.mapInArrow(run, f"doc bigint, at {kind}, low int, high int, members bigint, sign bigint")
+    if not counts.where(F.col("__n") > group).isEmpty():
+        out = out.unionByName(_dealt_windows(grouped.where(F.col("__n") > group), reach, group))
+    return out
+
+
+def _dealt_windows(grouped: DataFrame, reach: int, group: int) -> DataFrame:
+    """The same for grams with very many anchors (grouped: with their number __n): windows are named by a digest and counted within parts
+    of a gram, dealt by document, then over the parts; a part's rows meet the totals of its own windows only, so no key is hot."""
+    part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("__n") * 2 / group)).cast("int")
+    lead = F.filter(F.sequence(F.lit(0), F.lit(reach)), lambda n: (n <= F.length("before")) & (reach - n <= F.length("after")))
+    rows = grouped.select("gram", "doc", "at", "before", "after", part.alias("part"), F.explode(lead).alias("lead"))
+    around = F.concat(F.when(F.col("lead") > 0, F.right("before", F.col("lead"))).otherwise(""), F.substr("after", F.lit(1), F.lit(reach) - F.col("lead")))
+    rows = rows.select("doc", "at", "part", "lead", F.unhex(F.md5(F.concat(F.col("gram"), F.lit(b"|"), F.encode(around, "UTF-8"), F.lit(b"|"), F.col("lead").cast("string").cast("binary")))).alias("key"))
+    rows = written(rows, "dealt")
+    of_part = rows.select("key", "part", "doc").distinct().groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"))
+    of_part = written(of_part, "parts")
+    total = of_part.groupBy("key").agg(F.sum("n").alias("members"), F.xxhash64(F.sum("s")).alias("sign")).where("members > 1")
+    known = of_part.select("key", "part").join(total, "key")
+    found = rows.join(known, ["key", "part"])
+    return found.select("doc", "at", F.col("lead").alias("low"), F.col("lead").alias("high"), "members", "sign")
 
 
 def exact_classes(documents: DataFrame, doc: str, text: str, least: int) -> DataFrame:
@@ -337,9 +489,25 @@ def _anchored(documents: DataFrame, doc: str, text: str, span: int, reach: int,
         raise ValueError("reach must lie between 0 and the span")
     kept = documents.where(F.col(doc).isNotNull() & (F.length(text) >= span))
     copies = exact_classes(kept, doc, text, span)
-    texts = kept.select(F.col(doc).cast("bigint").alias("__d"), F.col(text).alias("__t")).join(copies.select(F.col("doc").alias("__d")), "__d", "left_anti")
-    bits = sketch(texts, span, reach, width, rows)
-    return written(repeated_anchors(texts, bits, span, reach, width, every), "anchors"), copies
+    texts = kept.select(F.col(doc).cast("bigint").alias("__d"), F.col(text).alias("__t"))
+    # Copies are passed over in the scan, by a bit set of fixed size; only the texts that it names, copies and a few others, are moved to be told apart.
+    skip = copy_bits(copies)
+    sent = texts.sparkSession.sparkContext.broadcast(skip)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_suspect(batch.column(0), sent.value)))
+
+    parts: list[tuple[DataFrame, np.ndarray | None]] = [(texts, skip)]
+    if skip.any():
+        suspects = texts.mapInArrow(named, "__d bigint, __t string").join(copies.select(F.col("doc").alias("__d")), "__d", "left_anti")
+        parts.append((written(suspects, "suspects"), None))
+    bits = sketch(parts, span, reach, width, rows)
+    out = None
+    for df, left_out in parts:
+        part = repeated_anchors(df, bits, span, reach, width, every, left_out)
+        out = part if out is None else out.unionByName(part)
+    return written(out, "anchors"), copies
 
 
 def shared_pairs(documents: DataFrame, doc: str = "doc_id", text: str = "text", span: int = 300, reach: int = REACH, width: int = WIDTH, rows: int = ROWS) -> DataFrame:
@@ -350,7 +518,7 @@ def shared_pairs(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     identifier, and set in again at the end.
     """
     anchors, copies = _anchored(documents, doc, text, span, reach, width, rows)
-    pairs = _compared(anchors, span, reach, "pairs", "a bigint, b bigint").distinct()
+    pairs = _compared(anchors, reach).distinct()
     members = copies.select("doc", "rep")
     a, b = members.select(F.col("doc").alias("__m"), F.col("rep").alias("a")), members.select(F.col("doc").alias("__k"), F.col("rep").alias("b"))
     wide = pairs.join(a, "a", "left").select("b", F.explode(F.array_compact(F.array("a", "__m"))).alias("a")).distinct()
@@ -361,15 +529,41 @@ def shared_pairs(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     return both.select(F.least("a", "b").alias("doca"), F.greatest("a", "b").alias("docb")).distinct()
 
 
+def partners(sets: DataFrame, large: int | None = None) -> DataFrame:
+    """(doc, links): with how many others each document stands in at least one common set; sets(doc, members, sign) distinct, a set of
+    ``members`` documents named by (members, sign).
+
+    Partners in sets of up to ``large`` members are listed, at most that many for each row. Of larger sets there are few, and documents that are in the
+    same ones have the same partners there: these are counted per combination of large sets, and listed partners that a common large set
+    has already are left out.
+    """
+    large = large or LARGE
+    rows = sets.select("doc", F.xxhash64("members", "sign").alias("set"), "members")
+    few = rows.where(F.col("members") <= large).select("doc", "set")
+    listed = few.join(few.withColumnRenamed("doc", "other"), "set").where("doc <> other").select("doc", "other").distinct()
+    many = rows.where(F.col("members") > large).groupBy("doc").agg(F.array_sort(F.collect_set("set")).alias("sets"))
+    many = written(many.withColumn("kind", F.xxhash64("sets")), "large")
+    kinds = many.groupBy("kind", "sets").agg(F.count(F.lit(1)).alias("n"))
+    each = written(kinds.select("kind", "n", F.explode("sets").alias("set")), "kinds")
+    met = each.select("kind", "set").join(each.select(F.col("kind").alias("other"), "n", "set"), "set").select("kind", "other", "n").distinct()
+    wide = many.join(met.groupBy("kind").agg((F.sum("n") - 1).alias("__wide")), "kind").select("doc", "__wide")
+    a = many.select("doc", F.col("sets").alias("__a"))
+    b = many.select(F.col("doc").alias("other"), F.col("sets").alias("__b"))
+    apart = listed.join(a, "doc", "left").join(b, "other", "left").where(~F.coalesce(F.arrays_overlap("__a", "__b"), F.lit(False)))
+    near = apart.groupBy("doc").agg(F.count(F.lit(1)).alias("__near"))
+    none = F.lit(0).cast("bigint")
+    return near.join(wide, "doc", "full").select("doc", (F.coalesce("__near", none) + F.coalesce("__wide", none)).alias("links"))
+
+
 def shared_classes(documents: DataFrame, doc: str = "doc_id", text: str = "text", span: int = 300, reach: int = REACH, width: int = WIDTH, rows: int = ROWS) -> DataFrame:
     """(doc, class, copies, links) of every document: the smallest identifier with the same text, how many have it, and with how many different
-    texts it shares a span. The compact form of ``shared_pairs``, whose size doesn't grow with the copies of a text.
+    texts it shares a span. The compact form of ``shared_pairs``, whose size doesn't grow with the copies of a text; made from the sets of texts
+    that hold a stretch, not from pairs.
 
     Texts shorter than the span, null or empty are each a class of their own with one copy and no links; null identifiers are left out.
     """
     anchors, copies = _anchored(documents, doc, text, span, reach, width, rows)
-    pairs = _compared(anchors, span, reach, "pairs", "a bigint, b bigint").distinct()
-    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    links = partners(written(shared_windows(anchors, reach).select("doc", "members", "sign").distinct(), "sets")).select(F.col("doc").alias("class"), "links")
     size = copies.groupBy(F.col("rep").alias("class")).agg((F.count(F.lit(1)) + 1).alias("copies"))
     ids = documents.where(F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("__d")).distinct()
     classes = ids.join(copies.select(F.col("doc").alias("__d"), "rep"), "__d", "left").select("__d", F.coalesce("rep", "__d").alias("class"))
@@ -385,7 +579,8 @@ def shared_share(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     copies have one stretch, the whole. A stretch that a document holds several times counts at each place.
     """
     anchors, copies = _anchored(documents, doc, text, span, reach, width, rows, every=True)
-    found = _compared(anchors, span, reach, "spans", "doc bigint, begin bigint, stop bigint").distinct()
+    windows = shared_windows(anchors, reach).select("doc", F.explode("at").alias("at"), "low", "high")
+    found = windows.select("doc", (F.col("at") - F.col("high")).alias("begin"), (F.col("at") - F.col("low") + span).alias("stop")).distinct()
     lengths = documents.select(F.col(doc), F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("n_chars"))
     joined = F.aggregate(
         F.array_sort(F.collect_list(F.struct("begin", "stop"))),
