@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators.citations import best_by, least_before
-from orrery.session import written
+from orrery.session import freed, written
 
 
-def connected_components(nodes: DataFrame, links: DataFrame, most_rounds: int = 100) -> DataFrame:
+#: Links whose components one task finds, some hundred bytes each.
+FEW_LINKS = 500_000
+
+
+def _components_here(links: DataFrame) -> DataFrame:
+    """(u, v): each node v of few links (u, v) with the smallest node u of its component, if another; in one task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, ends = np.unique(rows[["u", "v"]].to_numpy(), return_inverse=True)
+        a, b = ends.reshape(-1, 2).T
+        least = np.arange(len(nodes))
+        while True:
+            low = least.copy()
+            np.minimum.at(low, least[a], least[b])
+            np.minimum.at(low, least[b], least[a])
+            low = low[low]
+            while (low[low] != low).any():
+                low = low[low]
+            if (low == least).all():
+                break
+            least = low[least]
+        other = least != np.arange(len(nodes))
+        return pd.DataFrame({"u": nodes[least[other]], "v": nodes[other]})
+
+    return links.groupBy().applyInPandas(run, "u bigint, v bigint")
+
+
+def connected_components(nodes: DataFrame, links: DataFrame, few: int | None = None) -> DataFrame:
     """(id, component) of every node (id), where component is the smallest identifier in it; links (src, dst) count in both directions.
 
     Links to unknown nodes and to itself don't count; a node without links is a component. Alternating large and small stars:
     every round points each node's greater, then its smaller neighbours at the smallest neighbour, so that paths shrink geometrically
     and a round carries no more links than there are nodes and links. A hub is only ever a group key of a minimum, which is combined
-    before the shuffle, and one side of an equi-join that the adaptive planner splits. Lineage is cut each round by a written table.
+    before the shuffle, and one side of an equi-join that the adaptive planner splits. Lineage is cut each round by a written table. Up to ``few``
+    links need no rounds: one task has the answer.
     """
+    few = FEW_LINKS if few is None else few
     known = nodes.select("id")
     pairs = links.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
     pairs = pairs.join(known.withColumnRenamed("id", "u"), "u", "left_semi").join(known.withColumnRenamed("id", "v"), "v", "left_semi")
@@ -36,14 +67,17 @@ def connected_components(nodes: DataFrame, links: DataFrame, most_rounds: int =
         return out.select(F.least("m", "v").alias("u"), F.greatest("m", "v").alias("v")).where("u <> v").distinct()
 
     last = None
-    for _ in range(most_rounds):
+    while True:
+        if last is None and now.count() <= few:
+            now = _components_here(now)
+            break
+        before = now
         now = written(star(star(now, True), False), "stars")
+        freed(before)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == last:
             break
         last = tuple(state)
-    else:
-        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     roots = now.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
     return known.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -70,31 +104,34 @@ def colours(components: DataFrame) -> DataFrame:
     return indexed(components.select("component").distinct(), "component", "k").select("component", (F.col("k") + 1).alias("colour"))
 
 
-def transitive_reduction(links: DataFrame, most_hops: int = 1000) -> DataFrame:
+def transitive_reduction(links: DataFrame) -> DataFrame:
     """(src, dst) of the links that no longer path replaces; links lead to smaller identifiers, others are left out.
 
-    From every source a frontier walks on, hop by hop, each node once, no further than above the source's smallest target; a target met after
-    two or more hops is dropped. What is held grows with the pairs of source and node so reached, not with the number of paths.
+    From every source that has several targets a frontier walks on, hop by hop, each node once, no further than above the smallest target that is
+    still undecided; a target met after two or more hops is dropped, and a source all of whose targets but the greatest are decided stops. What is held grows
+    with the pairs of source and node so reached, not with the number of paths. A walk ends as identifiers fall along it.
     """
     pairs = written(links.where("src > dst").select("src", "dst").distinct(), "links")
-    low = pairs.groupBy("src").agg(F.min("dst").alias("low"))
     onward = pairs.select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    # A source's greatest target can't be met on the way: it isn't below any other.
+    open_ = pairs.join(pairs.groupBy("src").agg(F.max("dst").alias("top")), "src").where("dst < top").select("src", "dst")
+    target = open_.select("src", F.col("dst").alias("at"), F.lit(True).alias("met"))
+    low = open_.groupBy("src").agg(F.min("dst").alias("low"))
     front = pairs.join(low, "src").where("dst > low").select("src", F.col("dst").alias("at"), "low")
     reached = None
-    for _ in range(most_hops):
-        step = front.join(onward, "at").where("next >= low").select("src", F.col("next").alias("at"), "low").distinct()
+    while True:
+        step = front.join(onward, "at").where("next >= low").select("src", F.col("next").alias("at")).distinct()
         if reached is not None:
-            step = step.join(reached, ["src", "at"], "left_anti")
-        step = written(step, "reached")
+            step = step.join(reached.select("src", "at"), ["src", "at"], "left_anti")
+        step = written(step.join(target, ["src", "at"], "left"), "reached")
         if step.isEmpty():
             break
-        new = step.select("src", "at")
-        reached = new if reached is None else reached.unionByName(new)
+        reached = step if reached is None else reached.unionByName(step)
+        met = reached.where("met").select("src", F.col("at").alias("dst"))
+        low = open_.join(met, ["src", "dst"], "left_anti").groupBy("src").agg(F.min("dst").alias("low"))
         # Targets of the source itself have been walked on from in the first round.
-        front = step.where("at > low").join(pairs.withColumnRenamed("dst", "at"), ["src", "at"], "left_anti")
-    else:
-        raise RuntimeError(f"paths of more than {most_hops} links")
-    return pairs if reached is None else pairs.join(reached.withColumnRenamed("at", "dst"), ["src", "dst"], "left_anti")
+        front = step.join(low, "src").where("at > low").join(pairs.withColumnRenamed("dst", "at"), ["src", "at"], "left_anti").select("src", "at", "low")
+    return pairs if reached is None else pairs.join(met, ["src", "dst"], "left_anti")
 
 
 def fake_links(rows: DataFrame, components: DataFrame, keywords: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,8 @@ from orrery.sources.tables import current_rows
 
 #: A key is heavy from this share of all references on, so there are at most 1 / HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 1 / 1024
+#: Orphan keys that are sent to all tasks (some 50 bytes each); more are joined by shuffling.
+FEW_KEYS = 200_000
 
 
 def bare_code(code: Column) -> Column:
@@ -34,7 +36,8 @@ def orphan_references(refs: DataFrame, targets: DataFrame, share: float = HEAVY_
     reference is never late). Null keys refer to nothing and give no row; any other text, blank or not, is a key.
 
     References are first aggregated per key and period; the few heavy keys are held against the targets in a broadcast
-    join (there are at most 1 / share of them), the others in a shuffled join, and both halves are united.
+    join (there are at most 1 / share of them), the others in a join that is shuffled unless their orphan keys are at most FEW_KEYS, and both
+    halves are united.
     """
     facts = targets.where(F.col("key").isNotNull()).groupBy("space", "key").agg(F.min("gone").alias("gone"), F.min("firstat").alias("firstat"))
     known = refs.where(F.col("key").isNotNull())
@@ -51,6 +54,8 @@ def orphan_references(refs: DataFrame, targets: DataFrame, share: float = HEAVY_
     verdicts = written(judged.where(F.col("orphan") | heavy).select("space", "key", "kind", "firstat", "orphan", heavy.alias("heavy")), "verdicts")
     few = F.broadcast(verdicts.where("heavy").drop("heavy"))
     rest = verdicts.where("orphan and not heavy").drop("heavy", "orphan")
+    # Few orphan keys meet the references where these are; many are met by shuffling both sides.
+    rest = F.broadcast(rest) if rest.count() <= FEW_KEYS else rest
     tagged = known.join(few, ["space", "key"], "left")
     hot = tagged.where(F.col("orphan"))
     cold = tagged.where(F.col("orphan").isNull()).select(*known.columns).join(rest, ["space", "key"])

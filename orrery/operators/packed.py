@@ -7,8 +7,8 @@ The grammar, with ordered alternatives as in a parsing expression grammar:
     quoted <- '"' (!'"' . / '""')* '"' &(blank* (sep / end))
 
 A quoted, single-quoted or bracketed item holds only if a separator or the end follows its closing mark; otherwise the
-parser goes back and reads the item as bare, with its quotes kept and the error flag set where a quote opens it. The
-alternatives are one regular expression with possessive repeats: it runs inside the JVM, needs no recursion, and takes time
+parser goes back and reads the item as bare, with its marks kept and the error flag set where a quote or bracket opens it. Brackets
+belong to the value and stay; quotes enclose it and go. The alternatives are one regular expression with possessive repeats: it runs inside the JVM, needs no recursion, and takes time
 in proportion to the text.
 """
 
@@ -19,7 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MARK = "\x01"
+#: What stands between values while a field is cut, and before what stands for these two characters where a text has them itself.
+MARK, ESCAPE = "\x01", "\x02"
 
 
 @dataclass(frozen=True)
@@ -55,12 +56,18 @@ def _enclosed(packing: Packing) -> str:
 def unpacked(text: Column, packing: Packing) -> Column:
     """An array of structs (val, err), one for each non-empty value in order; null for a null text.
 
-    val is trimmed and without enclosing quotes (inside them a doubled quote stands for one); err marks a value
-    that opens with a quote which nothing closes in the right place. Blank items are left out, as are those of commas alone where
+    val is trimmed and without enclosing quotes (inside them a doubled quote stands for one), with its brackets; err marks a value
+    that opens with a quote or bracket which nothing closes in the right place. Any character may stand in a value, also those that
+    part the values while the field is cut. Blank items are left out, as are those of commas alone where
     commas may part, so an empty or blank
     text gives an empty array.
     """
     enclosed = _enclosed(packing)
+    held = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "2")), F.lit(MARK), F.lit(ESCAPE + "1"))
+    text = F.when(text.rlike(f"[{MARK}{ESCAPE}]"), held).otherwise(text)
+
+    def whole(x: Column) -> Column:
+        return F.when(F.contains(x, F.lit(ESCAPE)), F.replace(F.replace(x, F.lit(ESCAPE + "1"), F.lit(MARK)), F.lit(ESCAPE + "2"), F.lit(ESCAPE))).otherwise(x)
 
     def cut(sep: str) -> Column:
         return F.split(F.regexp_replace(text, F.lit(f"({enclosed})|(?:{sep})"), F.lit(f"$1{MARK}")), MARK)
@@ -79,7 +86,8 @@ def unpacked(text: Column, packing: Packing) -> Column:
         double = x.rlike(r'^"[^"]*+(?:""[^"]*+)*+"$')
         single = x.rlike(r"^'[^']*+(?:''[^']*+)*+'$")
         val = F.when(double, F.replace(body, F.lit('""'), F.lit('"'))).when(single, F.replace(body, F.lit("''"), F.lit("'"))).otherwise(x)
-        return F.struct(trimmed(val).alias("val"), (x.rlike("^[\"']") & ~double & ~single).alias("err"))
+        bracketed = x.rlike(r"^\[[^\]]*+\]$")
+        return F.struct(whole(trimmed(val)).alias("val"), (x.rlike("^[\"'\\[]") & ~double & ~single & ~bracketed).alias("err"))
 
     empty = r"^[\s,]*$" if packing.weak else r"^$"
     return F.filter(F.transform(F.transform(parts, trimmed), item), lambda x: ~x["val"].rlike(empty))

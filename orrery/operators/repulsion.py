@@ -92,8 +92,9 @@ def _walk(own: dict[str, np.ndarray], own_tile: int, tiles: Cells, nodes: Cells,
         leaf = n == 1
         taken = ~holds & (leaf | ((side / (1 << depth)) ** 2 < OPENING * rsq))
         f = pair_factor(rsq[taken], own["mass"][who[taken]], m[taken], own["radius"][who[taken]], cells.r[lo[taken]], leaf[taken], p)
-        np.add.at(fx, who[taken], dx[taken] * f)
-        np.add.at(fy, who[taken], dy[taken] * f)
+        to = who[taken]
+        fx[:] += np.bincount(to, dx[taken] * f, k)
+        fy[:] += np.bincount(to, dy[taken] * f, k)
         return ~taken & ~(holds & leaf)
 
     who, lo, hi = np.arange(k), np.zeros(k, dtype=np.int64), np.full(k, len(tiles.code))
@@ -123,16 +124,38 @@ def _walk(own: dict[str, np.ndarray], own_tile: int, tiles: Cells, nodes: Cells,
     return fx, fy
 
 
-def repulsion(nodes: DataFrame, p: Forces, per_tile: int = PER_TILE) -> DataFrame:
+def local_forces(x: np.ndarray, y: np.ndarray, mass: np.ndarray, radius: np.ndarray, held: np.ndarray, p: Forces, block: int = 8 * BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """The repulsive forces on nodes that are all here: the same tree and the same cells as in ``repulsion``."""
+    fx, fy = np.zeros(len(x)), np.zeros(len(x))
+    low_x, low_y = x.min(), y.min()
+    side = max(x.max() - low_x, y.max() - low_y, 1e-10) * (1 + 1e-9)
+    if not np.isfinite(side):
+        return fx, fy
+    mine = morton(x, y, low_x, low_y, side, DEEPEST)
+    sort = np.argsort(mine, kind="stable")
+    x, y, m, r = x[sort], y[sort], mass[sort], radius[sort]
+    nodes = Cells(mine[sort], DEEPEST, np.ones(len(x), dtype=np.int64), m, m * x, m * y, r)
+    one = lambda v: np.array([v.sum()])
+    whole = Cells(np.zeros(1, dtype=np.int64), 0, np.array([len(x)]), one(m), one(m * x), one(m * y), np.array([r.max()]))
+    at = np.flatnonzero(~held[sort])
+    for begin in range(0, len(at), block):
+        part = at[begin : begin + block]
+        own = {"x": x[part], "y": y[part], "mass": m[part], "radius": r[part]}
+        fx[sort[part]], fy[sort[part]] = _walk(own, 0, whole, nodes, part, side, p)
+    return fx, fy
+
+
+def repulsion(nodes: DataFrame, p: Forces, per_tile: int = PER_TILE, box: tuple | None = None) -> DataFrame:
     """(id, fx, fy): the repulsive force on each node of nodes(id, x, y, mass, radius[, held]); held nodes push but aren't pushed.
 
     The tree is that of the points: a cell of several is cut in four until each stands alone. Work is dealt by tiles, cells of one depth.
     A task has its tile's nodes, those of the 24 tiles around, and the sums of all tiles (at most 4^8 rows, broadcast): a tile further away
     is so distant that it always stands for its nodes. So a node is sent to at most 25 tasks, whatever the number of nodes.
+    ``box``: (least x, greatest x, least y, greatest y, nodes), if known.
     """
     held = F.col("held") if "held" in nodes.columns else F.lit(False)
     rows = nodes.select("id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "mass", "radius")], F.coalesce(held, F.lit(False)).alias("held"))
-    box = rows.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
+    box = box or rows.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
     if not box[4]:
         return rows.select("id", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
     low_x, low_y, side = box[0], box[2], max(box[1] - box[0], box[3] - box[2], 1e-10) * (1 + 1e-9)

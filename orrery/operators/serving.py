@@ -70,6 +70,11 @@ def date_boundaries(boundaries: DataFrame, most: int = 5) -> DataFrame:
     return boundaries.where(F.col("daysago") <= most).agg(*[F.max(F.when(F.col("daysago") == d, F.col("id"))).alias(f"d{d}") for d in range(most + 1)])
 
 
+def versioned(boundaries: DataFrame, version: str) -> DataFrame:
+    """The boundaries with the version that a client compares with its own."""
+    return boundaries.select(F.lit(version).alias("v"), "*")
+
+
 def explain_paper(papers: DataFrame, links: DataFrame, id_: int) -> DataFrame:
     """(role, id, title, authors, ord): a paper, then its references in order, then its citations; for a look at the data."""
     row = papers.where(F.col("id") == id_).select(F.lit("paper").alias("role"), "id", F.lit(0).cast("bigint").alias("ord"))

@@ -78,6 +78,13 @@ def state_hash(state: Column) -> Column:
     return F.sha1(state)
 
 
+def loaded(stored: DataFrame, client: DataFrame) -> DataFrame:
+    """(user, state, loads): what a client that asks for its profile gets: the stored state, or null where its hash says that it has it; and the
+    number of its loads with this one. stored(user, state, loads), client(user, hash); users without a profile have no row."""
+    rows = client.join(stored, "user")
+    return rows.select("user", F.when(F.coalesce(state_hash(F.col("state")) == F.col("hash"), F.lit(False)), F.lit(None)).otherwise(F.col("state")).alias("state"), (F.col("loads") + 1).alias("loads"))
+
+
 def accepted(old: DataFrame, merged: DataFrame, client: DataFrame) -> DataFrame:
     """(user, state): the merged state where its hash is the client's, else the old one. client(user, hash)."""
     rows = merged.select("user", F.col("state").alias("new")).join(client, "user", "left").join(old.select("user", F.col("state").alias("was")), "user", "left")

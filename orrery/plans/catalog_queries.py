@@ -330,9 +330,10 @@ def fast_draw(spark, folder):
     return C.indexed(C.papers(spark, folder)).where("idx % 3 = 0").select("id")
 
 
-@query()
+@query("select id, maincat from papers order by md5(id || '/42'), id limit 1000")
 def random_sample(spark, folder):
-    return C.papers(spark, folder, "maincat").orderBy(F.rand(42)).limit(1000)
+    """A sample in a random order that depends on the identifiers and a seed only, not on how rows are dealt."""
+    return C.papers(spark, folder, "maincat").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit("/42"))), "id").limit(1000)
 
 
 @query("select id from papers where id in (select dst from e where freq > 1) except select id from papers where maincat = 'opt-dyn'")

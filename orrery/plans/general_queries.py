@@ -11,10 +11,15 @@ from orrery.operators.skew import count_mismatches, salted_distinct_count
 from orrery.sources.tables import current_rows, table
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+def p4_values(spark: SparkSession, folder: str) -> DataFrame:
+    """p4_found with the mark of values whose opening quote or bracket nothing closes."""
     papers = current_rows(table(spark, folder, "meta_data", "id", "allcats", "authors", "loadedat"), "allcats", "authors")
     cats = unpack_rows(papers, ["id"], "allcats", CATEGORIES)
-    return cats.unionByName(unpack_rows(papers, ["id"], "authors", AUTHORS)).drop("err")
+    return cats.unionByName(unpack_rows(papers, ["id"], "authors", AUTHORS))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_values(spark, folder).drop("err")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +48,7 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_report(p7_found(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_citing_papers, p5_citing_all, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_values, p5_found, p5_citing_papers, p5_citing_all, p7_found, p7_report)}
 
 _ORPHANS = r"""
     with one as (select id, max(loadedat) as m, min(loadedat) as firstat from meta_data group by id),
@@ -65,13 +70,17 @@ _CITING = "select pastid, count(distinct futureid) as citing from links where pa
 _NAMES = r"""list_transform(case when regexp_matches(regexp_replace(authors, '"[^"]*"', '', 'g'), '[;|/\t\n\r]') then regexp_split_to_array(authors, '[;|/\t\n\r]')
     else regexp_extract_all(regexp_replace(authors, '\s*,?\s+(?:and|&)\s+', ',', 'g'), '(?:[^,"]|"(?:[^"]|"")*")+') end, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"""
 
-ORACLES = {
-    "p4_found": rf"""
+_VALUES = rf"""
         with cur as (select distinct m.id, allcats, authors from meta_data m join (select id as i, max(loadedat) as t from meta_data group by id) on m.id = i and m.loadedat = t),
-        c as (select id, list_filter(list_transform(regexp_split_to_array(allcats, '[,;|/\s]+'), lambda x: trim(x, '"''')), lambda x: x <> '') as l from cur),
-        a as (select id, list_filter(list_transform({_NAMES}, lambda x: case when regexp_matches(x, '^"(?:[^"]|"")*"$') then trim(replace(x[2:-2], '""', '"')) else x end), lambda x: x <> '') as l from cur),
-        b as (select id, 'allcats' as fieldname, l from c union all select id, 'authors', l from a)
-        select id, fieldname, cast(unnest(range(1, len(l) + 1)) as bigint) as slot, unnest(l) as val from b""",
+        c as (select id, list_filter(list_transform(regexp_split_to_array(allcats, '[,;|/\s]+'), lambda x: {{'val': trim(x, '"'''), 'err': false}}), lambda x: x.val <> '') as l from cur),
+        a as (select id, list_filter(list_transform({_NAMES}, lambda x: case when regexp_matches(x, '^"(?:[^"]|"")*"$') then {{'val': trim(replace(x[2:-2], '""', '"')), 'err': false}} else {{'val': x, 'err': regexp_matches(x, '^["\[]')}} end), lambda x: x.val <> '') as l from cur),
+        b as (select id, 'allcats' as fieldname, l from c union all select id, 'authors', l from a),
+        v as (select id, fieldname, cast(unnest(range(1, len(l) + 1)) as bigint) as slot, unnest(l) as item from b)
+"""
+
+ORACLES = {
+    "p4_found": _VALUES + "select id, fieldname, slot, item.val as val from v",
+    "p4_values": _VALUES + "select id, fieldname, slot, item.val as val, item.err as err from v",
     "p5_found": f"select distinct p.id from pcite p left join ({_CITING}) c on p.id = c.pastid where p.numcites is not null and p.numcites <> coalesce(c.citing, 0)",
     "p5_citing_papers": _CITING,
     "p5_citing_all": f"""

@@ -12,7 +12,7 @@ from orrery.operators import citations as C
 from orrery.operators import components as G
 from orrery.operators import layout as L
 from orrery.operators.repulsion import repulsion
-from orrery.plans.catalog_queries import _edges
+from orrery.plans.catalog_queries import _CATS, _DICT, _edges
 from orrery.plans.registry import Registry
 from orrery.session import written
 from orrery.sources.tables import table
@@ -67,16 +67,47 @@ def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
     return written(rows, "papers"), links, written(C.keyword_rows(few), "keywords")
 
 
-@query()
+# The walk over categories: which components become connected at which category, then the links that do it.
+_FAKES = f""", {_DICT}, few as (select id from papers), fe as (select distinct src, dst from e), u as (select src as a, dst as b from fe union select dst, src from fe),
+    cc(n, l) using key (n) as (select distinct a, a from u union (select u.b, min(cc.l) from cc join u on u.a = cc.n join recurring.cc r on r.n = u.b where cc.l < r.l group by u.b)),
+    comp as (select few.id, coalesce(cc.l, few.id) as component from few left join cc on few.id = cc.n),
+    big as (select component from comp group by component having count(*) > 2 order by count(*) desc, component limit 1),
+    c as (select id, unnest({_CATS}) as cat, unnest(range(len({_CATS}))) as i from papers),
+    first as (select c.id, arg_min(number, i) as cat from c join d on lower(c.cat) = d.cat group by c.id),
+    bp as (select p.id, coalesce(f.cat, 0) as cat, 0.2 + 0.2 * cites.cites as mass, comp.component, comp.component in (select component from big) as big
+           from papers p join cites on p.id = cites.id join comp on p.id = comp.id left join first f on f.id = p.id),
+    spans as (select distinct component, cat from bp where not big),
+    reach as (select a.cat, list(distinct b.cat) as others from spans a join spans b on a.component = b.component group by a.cat),
+    turns as (select cat, others, row_number() over (order by cat) as k from reach),
+    walk(k, live, opened) as (
+        select 0::bigint, coalesce((select list(distinct cat) from bp where big), []::bigint[]), []::bigint[]
+        union all select t.k, case when list_contains(live, t.cat) then list_distinct(live || others) else live end, case when list_contains(live, t.cat) then opened || [t.cat] else opened end
+        from walk join turns t on t.k = walk.k + 1),
+    opened as (select unnest(opened) as cat from walk where k = (select max(k) from walk)),
+    at_ as (select component, min(cat) as step from spans where cat in (select cat from opened) group by component),
+    st as (select bp.*, case when big then -1 else at_.step end as step from bp left join at_ on bp.component = at_.component and not big),
+    linking as (select component, cat, min(id) as id from st where step = cat and not big group by component, cat),
+    kws as (select id, i - 1 as slot, kw from (select id, unnest(list_filter(list_slice(string_split(keywords, ','), 1, 5), lambda x: x <> '')) as kw, unnest(range(1, len(list_filter(list_slice(string_split(keywords, ','), 1, 5), lambda x: x <> '')) + 1)) as i from papers)),
+    bykw as (select cat, kw, arg_min(st.id, (-mass, st.id)) as dst from st join (select distinct id, kw from kws) k on k.id = st.id where step < cat group by cat, kw),
+    words as (select l.id as src, b.dst, k.slot from linking l join kws k on k.id = l.id join bykw b on b.cat = l.cat and b.kw = k.kw),
+    start as (select cat, min((-mass, id)) as best from st where step < cat group by cat),
+    own as (select component, cat, min((-mass, id)) as heaviest, min(id) as id from st where step = cat and not big group by component, cat),
+    late as (select a.id, a.cat, min(b.heaviest) as h from own a left join own b on a.cat = b.cat and b.id < a.id group by a.id, a.cat),
+    plain as (select a.id as src, case when h is not null and h < s.best then h else s.best end as w from late a join start s on a.cat = s.cat where a.id not in (select src from words)),
+    fakes as (select src, dst, slot from words union all select src, w[2], 0 from plain)"""
+
+
+@query(_FAKES + " select src, dst, cast(slot as int) as slot from fakes")
 def fake_links(spark, folder):
     rows, links, keywords = _graph(spark, folder)
     return G.fake_links(rows, written(G.connected_components(rows, links), "components"), keywords)[0]
 
 
-@query()
+@query(_FAKES + """, con as (select id, cat from st where step is not null)
+    select con.id, cat, round(con.id / 4e9, 9) as age, count(k.src) as cites from con left join (select src, dst from e where freq > 0 and src in (select id from con) and dst in (select id from con)) k on k.dst = con.id group by con.id, cat""")
 def select_graph(spark, folder):
     rows, links, keywords = _graph(spark, folder)
-    return G.select_graph(rows, links, keywords, 0, OPEN_END)["papers"]
+    return G.select_graph(rows, links, keywords, 0, OPEN_END)["papers"].select("id", "cat", F.round("age", 9).alias("age"), "cites")
 
 
 _LINKS = """, ll as (select least(src, dst) as a, greatest(src, dst) as b, sum(cast(freq as double) * freq) as weight, min(src) as s0, max(src) as s1 from e group by 1, 2),
@@ -146,18 +177,33 @@ def barnes_hut_close_force(spark, folder):
 @query()
 def layout_iterate(spark, folder):
     nodes, links = _layout(spark, folder)
-    state = L.State(step=1.0)
-    for _ in range(2):
-        nodes, state = L.iterate(nodes, links, Forces(), state)
-    return L.exported(nodes)
+    return L.exported(L.iterated(nodes, links, Forces(), L.State(step=1.0), 2)[0])
 
 
-@query()
+_TURNS = _NODES + _LINKS + """, ln as (select src, dst, weight from links1 where src in (select id from nodes) and dst in (select id from nodes)),
+    num as (select id, cast(row_number() over (order by id) - 1 as int) as n from nodes),
+    turn as (select src, any_value(a.n) as sn, list(b.n order by weight desc, dst) as dsts, row_number() over (order by max(weight) desc, any_value(mass), src) as k
+             from ln join nodes on nodes.id = src join num a on a.id = src join num b on b.id = dst group by src),
+    w(k, taken, sn, dn) as (
+        select 0::bigint, repeat('0', (select count(*)::int from nodes))::bit, null::int, null::int
+        union all select t.k, case when c.d is null then w.taken else set_bit(set_bit(w.taken, t.sn, 1), c.d, 1) end, t.sn, c.d
+        from w join turn t on t.k = w.k + 1, lateral (select case when get_bit(w.taken, t.sn) = 0 then list_filter(t.dsts, lambda d: get_bit(w.taken, d) = 0)[1] end as d) c),
+    pair as (select b.id, a.id as parent from w join num a on a.n = w.sn join num b on b.n = w.dn)"""
+
+
+@query(_TURNS + ' select nodes.id, coalesce(parent, nodes.id) as parent, parent is not null as "second" from nodes left join pair on nodes.id = pair.id')
 def greedy_coarsen(spark, folder):
     nodes, links = _layout(spark, folder)
     return L.coarsened(nodes, links)[2]
 
 
+@query(_TURNS + """, up as (select nodes.id, coalesce(parent, nodes.id) as parent, mass, radius from nodes left join pair on nodes.id = pair.id)
+    select parent as id, round(cast(sum(mass) as double), 4) as mass, round(sqrt(sum(radius * radius)), 4) as radius from up group by parent""")
+def coarse_nodes(spark, folder):
+    nodes, links = _layout(spark, folder)
+    return L.coarsened(nodes, links)[0].select("id", F.round("mass", 4).alias("mass"), F.round("radius", 4).alias("radius"))
+
+
 @query()
 def refine_layout(spark, folder):
     nodes, links = _layout(spark, folder)
@@ -165,19 +211,70 @@ def refine_layout(spark, folder):
     return L.refined(nodes, children, L.started(coarse, 7)).select("id", "x", "y")
 
 
-@query()
+@query(_NODES + _LINKS + """, old as (select nodes.* from nodes where id in (select id from cur where coalesce(status, '') not in ('new', 'deleted'))),
+    ln as (select src, dst, weight from links1 where src in (select id from nodes) and dst in (select id from nodes)),
+    ends as (select src as id, dst as other, weight from ln union all select dst, src, weight from ln),
+    mid as (select ends.id, sum(weight * x) / sum(weight) as mx, sum(weight * y) / sum(weight) as my from ends join old on old.id = other group by ends.id)
+    select n.id, old.id is not null as held, round(case when old.id is not null then old.x else mx end + 1e-6, 4) + 0.0 as x, round(case when old.id is not null then old.y else my end + 1e-6, 4) + 0.0 as y
+    from nodes n left join old on n.id = old.id left join mid on mid.id = n.id""")
 def place_new_papers(spark, folder):
+    """Where new papers are put, without the random part: null for those without placed neighbours."""
     nodes, links = _layout(spark, folder)
     settled = C.papers(spark, folder, where="coalesce(status, '') not in ('new', 'deleted')")
     at = table(spark, folder, "map_data", "id", "x", "y").distinct().join(settled, "id", "left_semi")
-    return L.placed_new(L.with_positions(nodes, at, 7), links, 7).select("id", "x", "y", "held")
+    valid = L.with_positions(nodes, at, 7)
+    placed = L.placed_new(valid, links, 7)
+    linked = links.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("id"), F.col("src").alias("other")))).alias("l")).select("l.*")
+    near = linked.join(valid.where("valid").select(F.col("id").alias("other")), "other", "left_semi").select("id", F.lit(True).alias("near")).distinct()
+    at_ = lambda c, k: F.round(F.when(F.col("held"), F.col(c)).when(F.col("near"), F.col(c) - L.jitter(7, k)) + 1e-6, 4) + 0.0
+    return placed.join(near, "id", "left").select("id", "held", at_("x", 0).alias("x"), at_("y", 1).alias("y"))
 
 
-@query()
+_TURNED = """, cen as (select sum(mass * x) / sum(mass) as cx, sum(mass * y) / sum(mass) as cy from nodes where {0}), t as (select 4.2 - atan2(cy, cx) as a from cen)
+    select id, round(x * cos(a) - y * sin(a), 3) + 0.0 as x, round(x * sin(a) + y * cos(a), 3) + 0.0 as y from nodes, t"""
+
+
+@query(_NODES + _TURNED.format("id in (select id from papers where maincat = 'opt-dyn')"))
 def orient_layout(spark, folder):
-    nodes = _layout_nodes(spark, folder)
     chosen = C.papers(spark, folder, "maincat").where("maincat = 'opt-dyn'").select("id")
-    return L.exported(L.oriented(nodes, chosen, 4.2))
+    return _rounded(L.oriented(_layout_nodes(spark, folder), chosen, 4.2))
+
+
+@query(_NODES + _TURNED.format("id = (select id from nodes order by mass desc, id limit 1)"))
+def orient_by_paper(spark, folder):
+    nodes = written(_layout_nodes(spark, folder), "nodes")
+    return _rounded(L.oriented(nodes, nodes.orderBy(F.desc("mass"), "id").limit(1).select("id"), 4.2))
+
+
+@query(_NODES + " select id, case when k = 1 then 12.5 else x end as x, case when k = 1 then -3.25 else y end as y from (select *, row_number() over (order by mass desc, id) as k from nodes)")
+def moved_node(spark, folder):
+    """One node put elsewhere."""
+    nodes = written(_layout_nodes(spark, folder), "nodes")
+    return L.moved(nodes, nodes.orderBy(F.desc("mass"), "id").limit(1).select("id", F.lit(12.5).alias("x"), F.lit(-3.25).alias("y"))).select("id", "x", "y")
+
+
+@query(_NODES + " select count(*) as nodes, count(*) as inside, true as moved from nodes")
+def jolted_layout(spark, folder):
+    """All nodes shaken: how many stay within the jolt of where they were, and whether they moved at all."""
+    nodes = written(_layout_nodes(spark, folder), "nodes")
+    both = L.jolted(nodes, 3.0, 5).select("id", F.col("x").alias("nx"), F.col("y").alias("ny")).join(nodes, "id")
+    off = F.greatest(F.abs(F.col("nx") - F.col("x")), F.abs(F.col("ny") - F.col("y")))
+    return both.agg(F.count(F.lit(1)).alias("nodes"), F.sum((off <= 3.0).cast("bigint")).alias("inside"), (F.avg(off) > 0.5).alias("moved"))
+
+
+@query(_TURNS + """, up as (select nodes.id, coalesce(parent, nodes.id) as parent, mass, x, y from nodes left join pair on nodes.id = pair.id), g as (select parent, sum(mass * x) / sum(mass) as x, sum(mass * y) / sum(mass) as y from up group by parent)
+    select up.id, round(g.x + 1e-6, 4) + 0.0 as x, round(g.y + 1e-6, 4) + 0.0 as y from up join g on up.parent = g.parent""")
+def coarsen_display(spark, folder):
+    """The displayed level made coarser: parents at their parts' centre of mass, and the finest nodes at their parents' places."""
+    nodes, links = _layout(spark, folder)
+    coarse, _, children = L.coarsened(nodes, links)
+    out = L.propagated([children], L.gathered(nodes, children, coarse))
+    # Means of twentieths often lie halfway between two of the last digits kept.
+    return out.select("id", *[(F.round(F.col(c) + 1e-6, 4) + 0.0).alias(c) for c in "xy"])
+
+
+def _rounded(nodes: DataFrame) -> DataFrame:
+    return nodes.select("id", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
 
 
 @query()
@@ -197,9 +294,10 @@ def daily_increment(spark, folder):
 
 @query()
 def complete_layout(spark, folder):
-    """A layout from scratch with the reference's budget: ten levels, 2000 iterations with close repulsion, 6000 of the finest level."""
+    """A layout from scratch: all levels come to rest one after another, then close repulsion, then the finest level. The last two phases have a
+    hundred iterations each here; the operator's own numbers are the reference's 2000 and 6000."""
     nodes, links = _layout(spark, folder)
-    return L.exported(L.complete_layout(nodes.drop("x", "y"), links, Forces(), state=L.State()))
+    return L.exported(L.complete_layout(nodes.drop("x", "y"), links, Forces(), close_rounds=99, fine_rounds=99, state=L.State()))
 
 
 QUERIES, ORACLES = R.queries, R.oracles

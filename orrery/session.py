@@ -67,4 +67,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{_own_folder(df.sparkSession.sparkContext.applicationId, shared_folder(df.sparkSession))}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._orrery_path = path
+    return out
+
+
+def freed(df: DataFrame) -> None:
+    """Delete the table that a result of ``written`` reads, once nothing else will read it; other DataFrames are left alone."""
+    if path := getattr(df, "_orrery_path", None):
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

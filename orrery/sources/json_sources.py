@@ -36,7 +36,9 @@ def write_layout(layout: DataFrame, path: str) -> None:
 
 def write_layout_links(links: DataFrame, path: str) -> None:
     """Links (src, dst, weight) as ``[src, [[dst, weight], ...]]``, one source per line, weights to six digits."""
-    item = F.struct("dst", F.concat(F.lit("["), F.col("dst"), F.lit(","), F.format_string("%.6g", "weight"), F.lit("]")).alias("j"))
+    # Without the zeros at the end, which the JVM keeps.
+    weight = F.regexp_replace(F.format_string("%.6g", "weight"), r"(?:(\.\d*?[1-9])|\.)0*(?=e|$)", "$1")
+    item = F.struct("dst", F.concat(F.lit("["), F.col("dst"), F.lit(","), weight, F.lit("]")).alias("j"))
     rows = links.groupBy("src").agg(F.array_sort(F.collect_list(item)).alias("l"))
     text = F.concat(F.lit("["), F.col("src"), F.lit(",["), F.array_join(F.transform("l", lambda s: s["j"]), ","), F.lit("]]"))
     rows.select(text.alias("value")).write.mode("overwrite").text(path)

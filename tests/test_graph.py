@@ -37,6 +37,15 @@ def test_components(spark, links, nodes):
     assert rows_of(G.connected_components(n, e)) == find_components(nodes, links)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_components_in_rounds(spark, seed):
+    """More links than one task takes."""
+    rng = random.Random(seed)
+    links = [(rng.randrange(40), rng.randrange(40)) for _ in range(30)]
+    n, e = spark.range(40), spark.createDataFrame(links, "src bigint, dst bigint")
+    assert rows_of(G.connected_components(n, e, few=-1)) == find_components(range(40), links)
+
+
 def test_long_path_hub_and_stars(spark):
     path = [(k, k + 1) for k in range(200)] + [(500, k) for k in range(501, 700)]
     nodes = spark.range(0, 800)

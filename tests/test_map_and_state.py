@@ -219,8 +219,8 @@ def test_json_sources(spark, tmp_path):
     (tmp_path / "xml").mkdir()
     (tmp_path / "xml" / "a.xml").write_text("<x><abstract> so\n much </abstract></x>")
     assert J.read_abstracts(spark, str(tmp_path / "xml")).first()["abstract"] == "so much"
-    J.write_layout_links(spark.createDataFrame([(1, 3, 0.5), (1, 2, 1.0)], "src bigint, dst bigint, weight double"), str(tmp_path / "links"))
-    assert spark.read.text(str(tmp_path / "links")).first()[0] == "[1,[[2,1.00000],[3,0.500000]]]"
+    J.write_layout_links(spark.createDataFrame([(1, 3, 0.5), (1, 2, 1.0), (1, 4, 0.0), (1, 5, 1234567.0), (1, 6, 0.0000123), (1, 7, 100.0), (1, 8, 3.25)], "src bigint, dst bigint, weight double"), str(tmp_path / "links"))
+    assert spark.read.text(str(tmp_path / "links")).first()[0] == "[1,[[2,1],[3,0.5],[4,0],[5,1.23457e+06],[6,1.23e-05],[7,100],[8,3.25]]]"
 
 
 def test_settings(tmp_path):

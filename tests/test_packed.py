@@ -77,3 +77,16 @@ def test_round_trip(spark, items):
 def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a,b"), (1, "a,b")], "id int, t string")
     assert len(rows_of(unpack_rows(df, ["id"], "t", COMMAS))) == 4
+
+
+def test_any_character(spark):
+    """Characters that part the values while a field is cut may stand in them."""
+    for text in ("a\x01b, c\x02", "\x02" + "1, \x01and b", '"x\x01, y", \x02' + "2"):
+        want = [v.strip().strip('"') for v in (text.split(", ") if '"' not in text else ["x\x01, y", "\x022"])]
+        assert values(spark, text, AUTHORS) == want, repr(text)
+
+
+def test_error_flags(spark):
+    df = spark.createDataFrame([("[One, A.], [B. Two; 'x'y",), ("'a, [b] c, [d]",)], "t string")
+    got = [[(v["val"], v["err"]) for v in r[0]] for r in df.select(unpacked(F.col("t"), AUTHORS)).collect()]
+    assert got == [[("[One, A.], [B. Two", True), ("'x'y", True)], [("'a", True), ("[b] c", True), ("[d]", False)]]

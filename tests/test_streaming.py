@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.streaming.increments import citations_by_month, run_to_end, table_stream, upsert_batches
+from orrery.streaming.increments import citations_by_day, monthly, run_to_end, table_stream, upsert_batches, upserted
 from tests.conftest import SF, rows_of
 
 
@@ -18,21 +18,22 @@ def stream_of(spark, folder, rows, schema, per_file=3):
 
 def test_upsert_batches(spark, tmp_path):
     rows = [(k % 4, k, f"v{k}") for k in range(10)]
-    query = upsert_batches(stream_of(spark, tmp_path, rows, "id bigint, version bigint, v string"), str(tmp_path / "out"), ["id"], "version")
+    query = upsert_batches(stream_of(spark, tmp_path, rows, "id bigint, version bigint, v string"), str(tmp_path / "out"), ["id"], "version", parts=3)
     query.awaitTermination()
-    last = max((tmp_path / "out").glob("v*"), key=lambda p: int(p.name[1:]))
-    assert rows_of(spark.read.parquet(str(last)).select("id", "version")) == [(0, 8), (1, 9), (2, 6), (3, 7)]
+    assert rows_of(upserted(spark, str(tmp_path / "out"))) == [(0, "v8", 8), (1, "v9", 9), (2, "v6", 6), (3, "v7", 7)]
+    # What no list names any more is gone; the parts of the last two lists are there.
+    assert len(list((tmp_path / "out").glob("v=*/part=*"))) <= 2 * 3
 
 
 def test_links_by_month(spark, tmp_path):
     day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
     rows = [(k, day(k * 5)) for k in range(12)] + [(3, day(15)), (99, None)]
-    out = run_to_end(citations_by_month(stream_of(spark, tmp_path, rows, "linkid bigint, seenat timestamp_ntz")), "links_by_month")
-    assert sum(r["links"] for r in out.collect()) == 12 and out.where(F.col("month").isNull()).count() == 0
+    out = monthly(run_to_end(citations_by_day(stream_of(spark, tmp_path, rows, "linkid bigint, seenat timestamp_ntz")), "links_by_month", ["day"]))
+    assert rows_of(out.select(F.col("month").alias("a"), F.col("links").alias("b"))) == [("2020-01", 7), ("2020-02", 5)]
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
 def test_whole_table(spark):
-    out = run_to_end(citations_by_month(table_stream(spark, SF, "links")), "links_all")
+    out = run_to_end(citations_by_day(table_stream(spark, SF, "links")), "links_all", ["day"])
     want = spark.read.parquet(f"{SF}/links.parquet").where("seenat is not null").select("linkid", "seenat").distinct().count()
     assert out.agg(F.sum("links")).first()[0] == want
