@@ -36,6 +36,8 @@ HELD = 4_000_000
 CELL = 512
 #: log2 of the bits of the set of copies that is broadcast (16 MB), and the tasks that build it.
 COPY_BITS, COPY_TASKS = 27, 16
+#: Identifiers that this set may name by mistake and that are sent along (8 MB); for more, their texts are searched apart.
+EXCEPTIONS = 1_000_000
 #: Anchors of equal gram that one task holds, and rows that are numbered at once; beyond the first a group is dealt to tasks by document.
 GROUP, BATCH = 65_536, 16_384
 #: A stretch common to more texts than this is counted by sets of texts, not by pairs.
@@ -142,17 +144,21 @@ def copy_bits(copies: DataFrame) -> np.ndarray:
     return out
 
 
-def _suspect(docs: pa.Array, bits: np.ndarray | None) -> np.ndarray:
-    if bits is None:
+def _suspect(docs: pa.Array, skip: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Which documents to pass over: those in a set of bits, but for a sorted list of exceptions."""
+    if skip is None:
         return np.zeros(len(docs), dtype=bool)
-    byte, mask = _bits_of(docs.to_numpy(zero_copy_only=False))
-    return ((bits[byte] & mask) != 0).all(axis=0)
+    bits, but = skip
+    ids = docs.to_numpy(zero_copy_only=False)
+    byte, mask = _bits_of(ids)
+    found = ((bits[byte] & mask) != 0).all(axis=0)
+    return found & ~np.isin(ids, but) if len(but) else found
 
 
-def sketch(texts: list[tuple[DataFrame, np.ndarray | None]], span: int, reach: int = REACH, width: int = WIDTH, rows: int = ROWS) -> np.ndarray:
+def sketch(texts: list[tuple[DataFrame, tuple | None]], span: int, reach: int = REACH, width: int = WIDTH, rows: int = ROWS) -> np.ndarray:
     """One bit per counter, (rows, 2^width / 8) bytes: set where two or more records, or a record in two slices, fell.
 
-    texts: tables (__d, __t), each with the bit set of those that it leaves out, or None. Each task sends the occupied counters of its own anchors as sorted differences; a segment of counters is
+    texts: tables (__d, __t), each with the set of those that it leaves out (``_suspect``), or None. Each task sends the occupied counters of its own anchors as sorted differences; a segment of counters is
     merged in one task as a stream, in memory of the segment's size. The driver gets the merged bits, whose size is fixed.
     """
     cut = min(SEGMENT, width)
@@ -218,9 +224,9 @@ def sketch(texts: list[tuple[DataFrame, np.ndarray | None]], span: int, reach: i
     return out
 
 
-def repeated_anchors(texts: DataFrame, bits: np.ndarray, span: int, reach: int = REACH, width: int = WIDTH, every: bool = False, skip: np.ndarray | None = None) -> DataFrame:
-    """(gram, doc, at, before, after) of the anchors that the sketch has as repeated; gram is a 128-bit digest. ``skip``: bit set of
-    identifiers to leave out.
+def repeated_anchors(texts: DataFrame, bits: np.ndarray, span: int, reach: int = REACH, width: int = WIDTH, every: bool = False, skip: tuple | None = None) -> DataFrame:
+    """(gram, doc, at, before, after) of the anchors that the sketch has as repeated; gram is a 128-bit digest. ``skip``: what to
+    leave out (``_suspect``).
 
     Anchors of equal surroundings are one row of their text: they prove the same. ``at`` is the first one's place, with ``every`` the
     list of all their places.
@@ -475,12 +481,12 @@ def _dealt_windows(grouped: DataFrame, reach: int, group: int) -> DataFrame:
     return found.select("doc", "at", F.col("lead").alias("low"), F.col("lead").alias("high"), "members", "sign")
 
 
-def exact_classes(documents: DataFrame, doc: str, text: str, least: int) -> DataFrame:
+def exact_classes(documents: DataFrame, doc: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
     """(doc, rep): of the documents whose text of ``least`` or more characters others have too, each with the smallest identifier
-    of its class, except those identifiers themselves. One digest per document is shuffled."""
+    of its class, except those identifiers themselves; and (doc) of all of that length. One digest per document is shuffled."""
     ids = written(documents.where(F.length(text) >= least).select(F.col(doc).cast("bigint").alias("doc"), F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)).alias("__h")), "digests")
     reps = ids.groupBy("__h").agg(F.min("doc").alias("rep"), F.max("doc").alias("__last")).where(F.col("rep") < F.col("__last")).select("__h", "rep")
-    return written(ids.join(reps, "__h").where(F.col("doc") != F.col("rep")).select("doc", "rep").distinct(), "copies")
+    return written(ids.join(reps, "__h").where(F.col("doc") != F.col("rep")).select("doc", "rep").distinct(), "copies"), ids.select("doc")
 
 
 def _anchored(documents: DataFrame, doc: str, text: str, span: int, reach: int, width: int, rows: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -488,20 +494,24 @@ def _anchored(documents: DataFrame, doc: str, text: str, span: int, reach: int,
     if not 0 < reach < span:
         raise ValueError("reach must lie between 0 and the span")
     kept = documents.where(F.col(doc).isNotNull() & (F.length(text) >= span))
-    copies = exact_classes(kept, doc, text, span)
+    copies, ids = exact_classes(kept, doc, text, span)
     texts = kept.select(F.col(doc).cast("bigint").alias("__d"), F.col(text).alias("__t"))
-    # Copies are passed over in the scan, by a bit set of fixed size; only the texts that it names, copies and a few others, are moved to be told apart.
-    skip = copy_bits(copies)
-    sent = texts.sparkSession.sparkContext.broadcast(skip)
+    # Copies are passed over in the scan, by a bit set of fixed size, and no text is moved. What the set names by mistake are exceptions.
+    none = np.array([], dtype=np.int64)
+    bits = copy_bits(copies)
+    sent = texts.sparkSession.sparkContext.broadcast((bits, none))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_suspect(batch.column(0), sent.value)))
 
-    parts: list[tuple[DataFrame, np.ndarray | None]] = [(texts, skip)]
-    if skip.any():
-        suspects = texts.mapInArrow(named, "__d bigint, __t string").join(copies.select(F.col("doc").alias("__d")), "__d", "left_anti")
-        parts.append((written(suspects, "suspects"), None))
+    parts: list[tuple[DataFrame, tuple | None]] = [(texts, None)]
+    if bits.any():
+        mistaken = written(ids.mapInArrow(named, "doc bigint").join(copies.select("doc"), "doc", "left_anti").distinct(), "mistaken")
+        if mistaken.count() <= EXCEPTIONS:
+            parts = [(texts, (bits, np.array(sorted(r[0] for r in mistaken.collect()), dtype=np.int64)))]
+        else:  # very many: their texts go a way of their own
+            parts = [(texts, (bits, none)), (texts.join(mistaken.withColumnRenamed("doc", "__d"), "__d", "left_semi"), None)]
     bits = sketch(parts, span, reach, width, rows)
     out = None
     for df, left_out in parts:

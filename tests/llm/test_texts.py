@@ -227,6 +227,18 @@ def test_classes(spark):
     assert rows_of(shared_classes(df, "doc", span=40, reach=9, width=12)) == in_order(want)
 
 
+@pytest.mark.parametrize("exceptions", [1000, 0])
+def test_mistaken_copies(spark, monkeypatch, exceptions):
+    """A set of copies so small that it names others too loses none of them."""
+    import orrery.llm.spans as S
+
+    monkeypatch.setattr(S, "COPY_BITS", 9)
+    monkeypatch.setattr(S, "EXCEPTIONS", exceptions)
+    docs = corpus(1) + [(200 + k, corpus(1)[k][1]) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {tuple(r) for r in shared_pairs(df, span=40, reach=9, width=12).collect()} == brute_pairs(docs, 40)[0]
+
+
 def test_spans_tiny_sketch(spark):
     """A sketch far too small lets everything pass and loses nothing."""
     docs = corpus(3)
