@@ -1,8 +1,8 @@
 """Variant spellings of names typed by people (problem 6).
 
-A spelling is parsed into a rare token (the surname, or a collaboration's name) and common ones (given name, middle initials).
-Rare tokens are matched by a set-similarity join on their q-grams with a prefix filter; the candidates are verified by a soft
-similarity in which each token counts by its rarity, and given names, initials and middle initials may not contradict.
+The q-grams of every spelling's rare token, in whatever place it stands, are its set; two spellings meet only by a set-similarity join with a
+prefix filter over these sets. What meets is verified by a soft similarity of all tokens: each counts by its rarity, agreeing given names, initials and
+middle initials speak for it, contradicting ones against. Spellings that nothing met are linked to nothing.
 """
 
 from __future__ import annotations
@@ -38,12 +38,18 @@ NICKNAMES = {
 }
 #: What stands for a collaboration, and what may be left out of names.
 COLLABORATION, ARTICLES, SUFFIXES = re.compile(r"col+ab(?:ora?tion)?|coll"), {"the"}, {"jr", "sr", "ii", "iii", "iv"}
-#: A token in this share of all spellings, and in SOME at least, is common; so at most (tokens of a spelling) / SHARE are.
-SHARE, SOME = 1 / 2000, 3
+#: Small words that belong to a surname and are left out of its token. Fixed values.
+PARTICLES = {"de", "la", "del", "della", "den", "der", "di", "da", "do", "dos", "du", "le", "van", "von", "ter", "ten", "el", "al", "bin", "ibn"}
+#: Tokens of at least this share of all spellings are sent to all tasks, at most (tokens of a spelling) / SHARE; others are joined.
+SHARE = 1 / 2000
+#: Tokens of a q-gram, initial and length that are compared in one piece.
+CELL = 2048
 #: Characters of a q-gram. Longer ones are rarer, so fewer tokens meet; none that belong together are lost at any length.
 Q = 5
 #: Least soft similarity of two spellings of one name.
 ALIKE = 0.8
+#: Weight of a middle initial: the logarithm of the letters that it may be.
+MIDDLE_WEIGHT = 3.25
 
 
 def folded(text: str) -> str:
@@ -51,28 +57,56 @@ def folded(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
 
 
-def parse_name(text: str, given_names: frozenset[str] | set[str]) -> tuple[str, str, str, str, str] | None:
+_TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
+_FULL_NAMES = {n for full in NICKNAMES.values() for n in full.split()} | set(NICKNAMES)
+
+
+def _plain(text: str) -> str:
+    """Without nicknames in quotes or brackets, unless nothing else is there."""
+    plain = re.sub(r'"[^"]*"|\([^)]*\)', " ", text)
+    return plain if re.search(r"[^\W\d_]", plain) else text
+
+
+def places(text: str) -> list[tuple[str, int]]:
+    """(token, whether it stands where given names do) of a spelling's full tokens, for spellings whose order says so: two full tokens, or one and
+    initials."""
+    plain = _plain(text)
+    t = [folded(x) for x in re.findall(r"[^\W_]{3,}", plain)]
+    if len(t) == 2:
+        return [(t[1], 1), (t[0], 0)] if "," in plain else [(t[0], 1), (t[1], 0)]
+    return [(t[0], 0)] if len(t) == 1 and len(_TOKEN.findall(plain)) > 1 else []
+
+
+def given_score(token: str, n: int, first: int) -> float:
+    """How likely a token is a given name: the share of its uses in that place, moved towards a half by few uses; the names that short forms stand
+    for count a little more. The share doesn't depend on the size of the collection."""
+    known = 2 if token in _FULL_NAMES else 0
+    return (first + 0.5 + known) / (n + 1 + known)
+
+
+def parse_name(text: str, scores: dict[str, float] | None = None) -> tuple[str, str, str, str, str] | None:
     """(kind, rare token, given name, middle initial, other reading of the given name) of a spelling; None if it has no letters.
 
     kind is ``c`` for a collaboration, else ``p``. The given name is in full form if it is a known short one, or one initial, or
-    empty. ``given_names`` tell "Jones Mary" from "Mary Jones"; a single token in capitals or one before a comma is the surname.
+    empty. ``scores`` tell how likely a token is a given name, and so "Jones Mary" from "Mary Jones"; of tokens equally likely the later one in the
+    alphabet is the surname, in whatever order they stand. A single token in capitals or one before a comma is the surname; particles aren't part of it.
     """
-    plain = re.sub(r'"[^"]*"|\([^)]*\)', " ", text)
-    plain = plain if re.search(r"[^\W\d_]", plain) else text
+    plain = _plain(text)
     before, comma, after = plain.partition(",")
-    raw = re.findall(r"[^\W_]+(?:[-'’][^\W_]+)*", plain)
+    raw = _TOKEN.findall(plain)
     if not raw:
         return None
     low = [folded(t) for t in raw]
     if len(low) > 1 and any(COLLABORATION.fullmatch(t) for t in low):
         rest = [t for t in low if not COLLABORATION.fullmatch(t) and t not in ARTICLES]
         return ("c", " ".join(rest), "", "", "") if rest else None
+    score = lambda t: (scores or {}).get(t, given_score(t, 0, 0))
 
     def given(tokens: list[str]) -> tuple[str, str, str]:
         parts: list[str] = []
         for t in tokens:
             f = folded(t)
-            parts += list(f) if len(t) <= 3 and t.isupper() and f not in given_names else [f]
+            parts += list(f) if len(t) <= 3 and t.isupper() and score(f) <= 0.5 else [f]
         if not parts:
             return "", "", ""
         names = NICKNAMES.get(parts[0], parts[0]).split()
@@ -82,22 +116,28 @@ def parse_name(text: str, given_names: frozenset[str] | set[str]) -> tuple[str,
         return names[0], middle, (names[1] if len(names) > 1 else "")
 
     if comma and re.search(r"[^\W\d_]", before):
-        surname = " ".join(folded(t) for t in re.findall(r"[^\W_]+(?:[-'’][^\W_]+)*", before))
-        rest = re.findall(r"[^\W_]+(?:[-'’][^\W_]+)*", after)
-        return ("p", surname, *given(rest[:1] + [t for t in rest[1:] if folded(t) not in SUFFIXES]))
+        own = [folded(t) for t in _TOKEN.findall(before)]
+        surname = " ".join([t for t in own if t not in PARTICLES] or own)
+        rest = _TOKEN.findall(after)
+        return ("p", surname, *given(rest[:1] + [t for t in rest[1:] if folded(t) not in SUFFIXES | PARTICLES]))
     # A suffix stands last, after two or more tokens; elsewhere its letters are initials.
     if len(raw) > 2 and low[-1] in SUFFIXES:
         raw, low = raw[:-1], low[:-1]
+    if len(raw) > 2:  # a particle stands between two others
+        kept = [k for k in range(len(raw)) if k in (0, len(raw) - 1) or low[k] not in PARTICLES or raw[k].isupper()]
+        raw, low = [raw[k] for k in kept], [low[k] for k in kept]
     long = [k for k, t in enumerate(raw) if len(t) > 2 or (len(t) == 2 and not t.isupper())]
     if not long:
         return ("p", low[-1], *given(raw[:-1]))
     capitals = [k for k in long if raw[k].isupper() and len(raw[k]) > 2]
-    known = [low[k] in given_names or low[k] in NICKNAMES for k in long]
-    at = long[-1]
     if len(capitals) == 1 and len(long) > 1:
         at = capitals[0]
-    elif len(long) > 1 and known[-1] and not known[0]:
-        at = long[0]
+    elif len(long) > 1:
+        # The least likely given name; of more than two only the first and the last may be the surname.
+        ends = [long[0], long[-1]]
+        at = min(ends, key=lambda k: (round(score(low[k]), 9), [-ord(c) for c in low[k]]))
+    else:
+        at = long[-1]
     return ("p", low[at], *given(raw[:at] + raw[at + 1 :]))
 
 
@@ -106,56 +146,83 @@ def spellings(values: DataFrame, value: str) -> DataFrame:
     return values.where(F.col(value) != "").groupBy(F.col(value).alias("val")).agg(F.count(F.lit(1)).alias("uses"))
 
 
-def common_given_names(names: DataFrame, share: float = SHARE, some: int = SOME) -> set[str]:
-    """Tokens that are common and mostly stand where given names do. At most 3 / share tokens come to the driver."""
-    total = names.count()
+def token_places(names: DataFrame) -> DataFrame:
+    """(token, n, first): in how many spellings a token has a known place, and in how many that of a given name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[str, int]] = []
-            for text in batch.column(0).to_pylist():
-                t = [folded(x) for x in re.findall(r"[^\W_]{3,}", text)]
-                if len(t) == 2:
-                    out += [(t[1], 1), (t[0], 0)] if "," in text else [(t[0], 1), (t[1], 0)]
+            out = [p for text in batch.column(0).to_pylist() for p in places(text)]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([g for _, g in out], pa.int64())], ["token", "first"])
 
-    tokens = names.select("val").mapInArrow(run, "token string, first bigint").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("g"))
-    known = {n for full in NICKNAMES.values() for n in full.split()}
-    return known | {r[0] for r in tokens.where((F.col("n") >= max(some, total * share)) & (F.col("g") >= 0.8 * F.col("n"))).select("token").toLocalIterator()}
+    return names.select("val").mapInArrow(run, "token string, first bigint").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("first"))
+
+
+def parsed(names: DataFrame, share: float = SHARE) -> DataFrame:
+    """(val, uses, kind, rare, given, middle, other); spellings without letters are left out.
 
+    Where a spelling has several full tokens, what is known of these comes with it: of the few common ones from a broadcast, of others by a join.
+    """
+    stats = written(token_places(names), "tokens")
+    common = F.col("n") >= max(1.0, names.count() * share)
 
-def parsed(names: DataFrame, given_names: set[str]) -> DataFrame:
-    """(val, uses, kind, rare, given, middle, other); spellings without letters are left out."""
-    sent = names.sparkSession.sparkContext.broadcast(given_names)
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for v in batch.column(0).to_pylist():
+                found = {folded(t) for t in _TOKEN.findall(_plain(v)) if len(t) > 1}
+                if len(found) > 1:
+                    rows += [(v, t) for t in sorted(found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["val", "token"])
+
+    each = names.select("val").mapInArrow(tokens, "val string, token string")
+    often = each.join(F.broadcast(stats.where(common).select("token", "n", "first")), "token", "left")
+    rest = often.where("n is null").select("val", "token").join(stats.where(~common), "token")
+    known = often.where("n is not null").select("val", "token", "n", "first").unionByName(rest.select("val", "token", "n", "first"))
+    known = known.groupBy("val").agg(F.collect_list(F.struct("token", "n", "first")).alias("known"))
     fields = ("kind", "rare", "given", "middle", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(v, u, *p) for v, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (p := parse_name(v, sent.value))]
+            rows = []
+            for v, u, k in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if p := parse_name(v, {x["token"]: given_score(x["token"], x["n"], x["first"]) for x in k or []}):
+                    rows.append((v, u, *p))
             cols = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.string()) for k, c in enumerate(cols)], ["val", "uses", *fields])
 
-    return names.select("val", "uses").mapInArrow(run, "val string, uses bigint, " + ", ".join(f"{f} string" for f in fields))
+    return names.select("val", "uses").join(known, "val", "left").mapInArrow(run, "val string, uses bigint, " + ", ".join(f"{f} string" for f in fields))
+
+
+def _grams(token: Column, q: int) -> Column:
+    """The set of a token's q-grams, its ends marked."""
+    pad = F.concat(F.lit("\x02" * (q - 1)), token, F.lit("\x03" * (q - 1)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(token) + q - 1), lambda i: F.substr(pad, i, F.lit(q))))
 
 
-def similar_tokens(tokens: DataFrame, token: str, block: list[str], q: int = Q) -> DataFrame:
-    """(block..., t1, t2), t1 < t2: tokens of one block whose q-gram sets differ by no more than one typing error can make them.
+def similar_tokens(tokens: DataFrame, token: str, block: list[str], q: int = Q, errors: int = 1, cell: int | None = None) -> DataFrame:
+    """(block..., t1, t2), t1 <= t2: tokens of one block whose q-gram sets differ by no more than ``errors`` typing errors can make them;
+    each token with itself, too.
 
-    tokens: distinct rows (block..., token). A wrong, missing, added or swapped letter changes at most q + 1 of the padded q-grams of
-    the longer token, so the overlap of two such sets is at least n - q - 1 of its n; by the prefix filter they share one of
-    their q + 2 rarest q-grams. Only these are joined; length and overlap are checked on the pairs.
+    tokens: distinct rows (block..., token). Tokens of three letters and more lose no partner, of fewer those that share a q-gram are found. A wrong, missing, added or swapped letter changes at most q + 1 of the padded q-grams of
+    the longer token, so the overlap of two such sets is at least n - errors * (q + 1) of its n; by the prefix filter they share one of
+    their errors * (q + 1) + 1 rarest q-grams. Only these are joined, with tokens of a length that fits, and their overlap is checked. Where very many
+    tokens share a q-gram, each of them meets the others in pieces of ``cell`` tokens.
     """
-    pad = F.concat(F.lit("\x02" * (q - 1)), F.col(token), F.lit("\x03" * (q - 1)))
-    one = F.transform(F.sequence(F.lit(1), F.length(token) + q - 1), lambda i: F.substr(pad, i, F.lit(q)))
-    rows = tokens.where(F.col(token) != "").select(*block, F.col(token).alias("t"), F.array_distinct(one).alias("grams"))
-    each = rows.select(*block, "t", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    cell, changed = cell or CELL, errors * (q + 1)
+    rows = tokens.where(F.col(token) != "").select(*block, F.col(token).alias("t"))
+    each = rows.select(*block, "t", F.explode(_grams(F.col("t"), q)).alias("gram"))
     frequency = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(Window.partitionBy(*block, "t").orderBy("df", "gram"))
     # The number of distinct q-grams of a language is bounded by its letters, whatever the number of tokens.
-    prefix = each.join(frequency, "gram").withColumn("rank", rank).where(F.col("rank") <= q + 2).select(*block, "gram", "t", "n")
-    a, b = prefix.withColumnsRenamed({"t": "t1", "n": "n1"}), prefix.withColumnsRenamed({"t": "t2", "n": "n2"})
-    met = a.join(b, [*block, "gram"]).where((F.col("t1") < F.col("t2")) & (F.abs(F.length("t1") - F.length("t2")) <= 1))
-    return met.select(*block, "t1", "t2").distinct()
+    prefix = each.join(frequency, "gram").withColumn("rank", rank).where(F.col("rank") <= changed + 1).select(*block, "gram", "t", F.length("t").alias("len"))
+    key = [*block, "gram", "len"]
+    sizes = prefix.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("pieces"))
+    a = prefix.select(*block, "gram", F.col("t").alias("t1"), F.explode(F.sequence(F.col("len") - errors, F.col("len") + errors)).alias("len")).join(sizes, key)
+    a = a.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    b = prefix.withColumnRenamed("t", "t2").join(sizes, key).withColumn("piece", F.pmod(F.xxhash64("t2"), F.col("pieces")).cast("int")).drop("pieces")
+    met = a.join(b, [*key, "piece"]).where(F.col("t1") <= F.col("t2")).select(*block, "t1", "t2").distinct()
+    g1, g2 = _grams(F.col("t1"), q), _grams(F.col("t2"), q)
+    return met.where((F.col("t1") == F.col("t2")) | (F.size(F.array_intersect(g1, g2)) >= F.greatest(F.size(g1), F.size(g2)) - changed))
 
 
 def one_error(a: Column, b: Column) -> Column:
@@ -208,15 +275,15 @@ def _stars(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
 
 
 def name_clusters(values: DataFrame, value: str, alike: float = ALIKE) -> DataFrame:
-    """(val, kind, root, initial, given, middle): each spelling with the name it means; equal keys mean the same.
+    """(val, kind, root, initial, given, middle): each spelling that met another token's or its own with the name it means; equal keys mean the same.
 
-    Spellings of one kind, surname and initial mean one person unless their given names or middle initials contradict: then they are
-    told apart by those, and a spelling without them stays by itself. Surnames with one typing error are linked to their more used form
-    if nothing contradicts and the soft similarity is at least ``alike``. Null and empty values are left out; a value without letters
+    Rare tokens meet by the similarity join, within one initial, and are verified by ``alike``; a token's root is the most used one that it goes with, or
+    itself. Spellings of one kind, root and initial mean one person unless their given names or middle initials contradict: then they are
+    told apart by those, and a spelling without them stays by itself. Null and empty values are left out; a value without letters
     means itself only.
     """
     names = written(spellings(values, value), "spellings")
-    rows = written(parsed(names, common_given_names(names)), "parsed")
+    rows = written(parsed(names), "parsed")
 
     # A short form of two names is read as the likelier one, unless the surname has only the other.
     known = rows.where("other = '' and given <> ''").groupBy("kind", "rare", F.substring("given", 1, 1).alias("i")).agg(F.sum("uses").alias("there"))
@@ -227,7 +294,6 @@ def name_clusters(values: DataFrame, value: str, alike: float = ALIKE) -> DataFr
     doubtful = doubtful.withColumn("given", F.when(turned, F.col("other")).otherwise(F.col("given")))
     rows = rows.where("other = ''").unionByName(doubtful.select(*rows.columns)).drop("other").withColumn("initial", F.substring("given", 1, 1))
 
-    # Typing errors in the rare token.
     full = F.when(F.length("given") > 1, F.col("given"))
     # A node's people: each distinct full given name and middle initial, null where a spelling has none. Any of them may agree.
     person_ = F.struct(full.alias("given"), F.when(F.col("middle") != "", F.col("middle")).alias("middle"))
@@ -240,27 +306,29 @@ def name_clusters(values: DataFrame, value: str, alike: float = ALIKE) -> DataFr
     total = nodes.agg(F.sum("uses").alias("all_uses"))
     initials = nodes.groupBy("kind", "initial").agg(F.sum("uses").alias("initial_uses"))
     rarity = lambda n: F.log(F.lit(1.0) + F.col("all_uses") / n)
-    w_rare, w_given = rarity(F.greatest("u1", "u2")), rarity(F.col("initial_uses"))
-    s_rare = 1 - 1 / F.greatest(F.length("t1"), F.length("t2"))
+    w_rare, w_given, w_middle = rarity(F.greatest("u1", "u2")), rarity(F.col("initial_uses")), F.lit(MIDDLE_WEIGHT)
+    s_rare = F.when(F.col("t1") == F.col("t2"), 1.0).when(one_error(F.col("t1"), F.col("t2")), 1 - 1 / F.greatest(F.length("t1"), F.length("t2"))).otherwise(0.0)
 
     def likeness(a: Column, b: Column) -> Column:
-        """How alike two people's given names are; null if those or their middle initials contradict."""
-        agree = F.coalesce(_near(a["given"], b["given"]), F.lit(True)) & F.coalesce(a["middle"] == b["middle"], F.lit(True))
-        return F.when(agree, F.when(a["given"] == b["given"], 1.0).when(a["given"].isNull() | b["given"].isNull(), 0.9).otherwise(0.8))
-
-    best = F.array_max(F.transform("p1", lambda a: F.array_max(F.transform("p2", lambda b: likeness(a, b)))))
-    soft = (w_rare * s_rare + w_given * F.col("s_given")) / (w_rare + w_given)
-    near = pairs.where(one_error(F.col("t1"), F.col("t2"))).withColumn("s_given", best).where("s_given is not null")
-    verified = near.join(F.broadcast(total)).join(initials, ["kind", "initial"]).where(soft >= alike)
-    roots = _stars(nodes, verified, ["kind", "initial"])
-    rows = rows.join(roots.withColumnsRenamed({"token": "rare", "head": "root"}), ["kind", "initial", "rare"], "left").withColumn("root", F.coalesce("root", "rare")).drop("rare")
-    rows = written(rows, "rooted")
+        """The soft similarity of two people: what their tokens' likeness, from -1 for contradiction to 1, comes to by weight; a middle initial counts where
+        both have one."""
+        s_given = F.when(a["given"] == b["given"], 1.0).when(a["given"].isNull() | b["given"].isNull(), 0.9).when(_near(a["given"], b["given"]), 0.8).otherwise(-1.0)
+        s_middle = F.when(a["middle"] == b["middle"], 1.0).otherwise(-1.0)
+        both = (a["middle"].isNotNull() & b["middle"].isNotNull()).cast("double")
+        return (w_rare * s_rare + w_given * s_given + both * w_middle * s_middle) / (w_rare + w_given + both * w_middle)
+
+    # A node goes with itself whoever its people are: these are told apart below.
+    best = F.when(F.col("t1") == F.col("t2"), 1.0).otherwise(F.array_max(F.transform("p1", lambda a: F.array_max(F.transform("p2", lambda b: likeness(a, b))))))
+    verified = written(pairs.join(F.broadcast(total)).join(initials, ["kind", "initial"]).where(best >= alike).select("kind", "initial", "t1", "t2"), "verified")
+    roots = _stars(nodes, verified.where("t1 <> t2"), ["kind", "initial"])
+    own = verified.where("t1 = t2").select("kind", "initial", F.col("t1").alias("rare"))
+    roots = own.join(roots.withColumnsRenamed({"token": "rare", "head": "root"}), ["kind", "initial", "rare"], "left").withColumn("root", F.coalesce("root", "rare"))
+    rows = written(rows.join(roots, ["kind", "initial", "rare"]).drop("rare"), "rooted")
 
     # Contradicting given names within a surname and initial.
     person = ["kind", "root", "initial"]
     givens = rows.where(F.length("given") > 1).groupBy(*person, F.col("given").alias("token")).agg(F.sum("uses").alias("uses"))
-    a, b = givens.select(*person, F.col("token").alias("t1")), givens.select(*person, F.col("token").alias("t2"))
-    typed = a.join(b, person).where((F.col("t1") < F.col("t2")) & (F.levenshtein("t1", "t2") <= 2))
+    typed = similar_tokens(givens, "token", person, errors=2).where((F.col("t1") < F.col("t2")) & (F.levenshtein("t1", "t2") <= 2))
     forms = _stars(givens, typed, person).withColumnsRenamed({"token": "given", "head": "form"})
     rows = rows.join(forms, [*person, "given"], "left").withColumn("given", F.when(F.length("given") > 1, F.coalesce("form", "given")).otherwise("")).drop("form")
 

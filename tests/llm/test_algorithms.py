@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from orrery.llm.names import common_given_names, name_clusters, one_error, parse_name, same_names, similar_tokens, spellings
+from orrery.llm import names as N
+from orrery.llm.names import name_clusters, one_error, parse_name, same_names, similar_tokens, spellings, token_places
 from orrery.llm.pairs import item_pairs, lifted
 from orrery.llm import terms as T
 from orrery.llm.terms import decoded, marked_terms, normal_term, term_bitmaps
@@ -111,15 +112,53 @@ def test_pairs(spark):
 
 
 def test_parse_name():
-    names = {"margaret", "daniel"}
+    scores = {"margaret": 0.9, "daniel": 0.9, "stone": 0.1, "zebulon": 0.5, "quimby": 0.5, "peggy": 0.9, "maria": 0.9, "cruz": 0.1}
     for text, want in {
         "Margaret C. Stone": ("p", "stone", "margaret", "c", ""), "Stone, M. C.": ("p", "stone", "m", "c", ""), "M.C. Stone": ("p", "stone", "m", "c", ""), "MC Stone": ("p", "stone", "m", "c", ""),
         "STONE Margaret": ("p", "stone", "margaret", "", ""), "Stone Margaret": ("p", "stone", "margaret", "", ""), "margaret  stöne": ("p", "stone", "margaret", "", ""), "Stone M.": ("p", "stone", "m", "", ""),
         'Margaret "Peggy" Stone': ("p", "stone", "margaret", "", ""), "Peggy Stone": ("p", "stone", "margaret", "", ""), "Ted Stone": ("p", "stone", "edward", "", "theodore"), "Chris Stone": ("p", "stone", "c", "", ""),
         "The ATLAS Collaboration": ("c", "atlas", "", "", ""), "Atlas Coll.": ("c", "atlas", "", "", ""), "Collaboration ATLAS": ("c", "atlas", "", "", ""), "ATLAS Colaboration": ("c", "atlas", "", "", ""),
         "Stone": ("p", "stone", "", "", ""), "D. STONE Jr.": ("p", "stone", "d", "", ""), "...": None, "": None,
+        "Zebulon Quimby": ("p", "zebulon", "quimby", "", ""), "Quimby Zebulon": ("p", "zebulon", "quimby", "", ""),
+        "Maria de la Cruz": ("p", "cruz", "maria", "", ""), "de la Cruz, Maria": ("p", "cruz", "maria", "", ""), "Cruz, Maria de la": ("p", "cruz", "maria", "", ""),
     }.items():
-        assert parse_name(text, names) == want, text
+        assert parse_name(text, scores) == want, text
+
+
+def test_similar_tokens(spark, monkeypatch):
+    """The join finds every pair one error apart and each token itself, also where very many tokens share a q-gram."""
+    monkeypatch.setattr(N, "CELL", 3)
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(3, 6))) for _ in range(60)})
+    df = spark.createDataFrame([(w, b) for w in words for b in "xy"], "token string, block string")
+    for q in (2, 5):
+        got = {(r["t1"], r["t2"]) for r in similar_tokens(df, "token", ["block"], q).where("block = 'x'").collect()}
+        assert {(w, w) for w in words} <= got
+        one = spark.createDataFrame([(a, b) for a in words for b in words if a < b], "a string, b string").where(one_error(F.col("a"), F.col("b")))
+        assert {tuple(r) for r in one.collect()} <= got
+        assert all(abs(len(a) - len(b)) <= 1 for a, b in got)
+
+
+def test_reordered_and_rare_names(spark):
+    """Names that occur a few times only, in either order, and with particles; however many other names there are."""
+    same = [["Zebulon Quimby", "Quimby Zebulon", "Quimby, Zebulon"], ["de la Cruz, Maria", "Maria de la Cruz"]]
+    rng = random.Random(1)
+    other = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)).title() for _ in range(300)]
+    rows = [(v,) for g in same for v in g] + [(f"{rng.choice(other)} {w}",) for w in other for _ in range(4)]
+    got = {tuple(r) for r in same_names(spark.createDataFrame(rows, "val string"), "val").collect()}
+    assert {tuple(sorted(p)) for g in same for p in combinations(g, 2)} <= got
+
+
+def test_names_come_from_the_join(spark, monkeypatch):
+    """Without the similarity join nothing is linked; the soft similarity decides what is."""
+    rows = [("Margaret Stonewall",), ("M. Stonewall",), ("Stonewall, Margaret",), ("Margaret Stonewlal",), ("Margaret Stonexyll",)]
+    df = spark.createDataFrame(rows * 2, "val string")
+    base = {tuple(r) for r in same_names(df, "val").collect()}
+    assert len(base) == 6
+    assert {tuple(r) for r in same_names(df, "val", alike=-1.0).collect()} > base
+    real = N.similar_tokens
+    monkeypatch.setattr(N, "similar_tokens", lambda *a, **k: real(*a, **k).limit(0))
+    assert same_names(df, "val").count() == 0
 
 
 def test_one_error(spark):
@@ -152,4 +191,5 @@ def test_names(spark):
     assert got == {tuple(sorted(p)) for g in same for p in combinations(g, 2)}
     assert same_names(df.limit(0), "val").count() == 0
     assert name_clusters(df, "val").count() == len({v for v, _ in uses if v}) - 1  # the one without letters
-    assert "margaret" in common_given_names(spellings(df, "val"))
+    n = {r["token"]: (r["n"], r["first"]) for r in token_places(spellings(df, "val")).collect()}
+    assert n["margaret"][1] > n["margaret"][0] / 2 and n["stonewall"][1] == 1
