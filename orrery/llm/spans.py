@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +145,20 @@ def copy_bits(copies: DataFrame) -> np.ndarray:
     return out
 
 
+def _packed(bits: np.ndarray) -> tuple[bytes, int]:
+    """What is broadcast of a set of bits: compressed, as it is sparse unless there is very much data."""
+    return pa.compress(bits.tobytes(), codec="zstd", asbytes=True), bits.size
+
+
+def _opened(packed: tuple[bytes, int]) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[0], packed[1], codec="zstd", asbytes=True), dtype=np.uint8)
+
+
+def _skipped(sent) -> tuple[np.ndarray, np.ndarray] | None:
+    """What a broadcast (packed bits, exceptions) says to pass over; None for none."""
+    return None if sent is None else (_opened(sent.value[0]), sent.value[1])
+
+
 def _suspect(docs: pa.Array, skip: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
     """Which documents to pass over: those in a set of bits, but for a sorted list of exceptions."""
     if skip is None:
@@ -155,10 +170,10 @@ def _suspect(docs: pa.Array, skip: tuple[np.ndarray, np.ndarray] | None) -> np.n
     return found & ~np.isin(ids, but) if len(but) else found
 
 
-def sketch(texts: list[tuple[DataFrame, tuple | None]], span: int, reach: int = REACH, width: int = WIDTH, rows: int = ROWS) -> np.ndarray:
+def sketch(texts: list[tuple[DataFrame, Broadcast | None]], span: int, reach: int = REACH, width: int = WIDTH, rows: int = ROWS) -> np.ndarray:
     """One bit per counter, (rows, 2^width / 8) bytes: set where two or more records, or a record in two slices, fell.
 
-    texts: tables (__d, __t), each with the set of those that it leaves out (``_suspect``), or None. Each task sends the occupied counters of its own anchors as sorted differences; a segment of counters is
+    texts: tables (__d, __t), each with a broadcast of those that it leaves out (``_skipped``), or None. Each task sends the occupied counters of its own anchors as sorted differences; a segment of counters is
     merged in one task as a stream, in memory of the segment's size. The driver gets the merged bits, whose size is fixed.
     """
     cut = min(SEGMENT, width)
@@ -168,6 +183,7 @@ def sketch(texts: list[tuple[DataFrame, tuple | None]], span: int, reach: int =
 
     def build(batches: Iterator[pa.RecordBatch], skip) -> Iterator[pa.RecordBatch]:
         find, held, n = Anchors(span, reach), [], 0
+        left_out = _skipped(skip)
 
         def send() -> Iterator[pa.RecordBatch]:
             hashes = np.concatenate(held)
@@ -182,7 +198,7 @@ def sketch(texts: list[tuple[DataFrame, tuple | None]], span: int, reach: int =
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.int32()))], ["row", "seg", "code", "n"])
 
         for batch in batches:
-            for number, _, hashes in find(batch.column(1).filter(pa.array(~_suspect(batch.column(0), skip and skip.value))).to_pylist()):
+            for number, _, hashes in find(batch.column(1).filter(pa.array(~_suspect(batch.column(0), left_out))).to_pylist()):
                 both = np.lexsort((hashes, number))
                 fresh = np.concatenate(([True], (np.diff(hashes[both]) != 0) | (np.diff(number[both]) != 0)))[: len(both)]
                 held.append(hashes[both][fresh])
@@ -213,8 +229,8 @@ def sketch(texts: list[tuple[DataFrame, tuple | None]], span: int, reach: int =
             yield done()
 
     parts = None
-    for df, bits in texts:
-        part = df.mapInArrow(built(None if bits is None else df.sparkSession.sparkContext.broadcast(bits)), "row int, seg int, code binary, n int")
+    for df, left_out in texts:
+        part = df.mapInArrow(built(left_out), "row int, seg int, code binary, n int")
         parts = part if parts is None else parts.unionByName(part)
     merged = parts.repartition("row", "seg").sortWithinPartitions("row", "seg").mapInArrow(merge, "row int, seg int, bits binary")
     out = np.zeros((rows, 1 << width >> 3), dtype=np.uint8)
@@ -224,22 +240,21 @@ def sketch(texts: list[tuple[DataFrame, tuple | None]], span: int, reach: int =
     return out
 
 
-def repeated_anchors(texts: DataFrame, bits: np.ndarray, span: int, reach: int = REACH, width: int = WIDTH, every: bool = False, skip: tuple | None = None) -> DataFrame:
+def repeated_anchors(texts: DataFrame, bits: np.ndarray, span: int, reach: int = REACH, width: int = WIDTH, every: bool = False, skip: Broadcast | None = None) -> DataFrame:
     """(gram, doc, at, before, after) of the anchors that the sketch has as repeated; gram is a 128-bit digest. ``skip``: what to
-    leave out (``_suspect``).
+    leave out (``_skipped``).
 
     Anchors of equal surroundings are one row of their text: they prove the same. ``at`` is the first one's place, with ``every`` the
     list of all their places.
     """
     kind, schema = (pa.list_(pa.int64()), "array<bigint>") if every else (pa.int64(), "bigint")
-    sent = texts.sparkSession.sparkContext.broadcast(bits)
-    left_out = None if skip is None else texts.sparkSession.sparkContext.broadcast(skip)
+    sent = texts.sparkSession.sparkContext.broadcast((_packed(bits), len(bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, table = Anchors(span, reach), sent.value
+        find, table, left_out = Anchors(span, reach), _opened(sent.value[0]).reshape(sent.value[1], -1), _skipped(skip)
         gram, side = find.gram, reach + 1
         for batch in batches:
-            batch = batch.filter(pa.array(~_suspect(batch.column(0), left_out and left_out.value)))
+            batch = batch.filter(pa.array(~_suspect(batch.column(0), left_out)))
             docs, body = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for number, position, hashes in find(body):
                 keep = np.ones(len(hashes), dtype=bool)
@@ -499,19 +514,21 @@ def _anchored(documents: DataFrame, doc: str, text: str, span: int, reach: int,
     # Copies are passed over in the scan, by a bit set of fixed size, and no text is moved. What the set names by mistake are exceptions.
     none = np.array([], dtype=np.int64)
     bits = copy_bits(copies)
-    sent = texts.sparkSession.sparkContext.broadcast((bits, none))
+    send = lambda but: texts.sparkSession.sparkContext.broadcast((_packed(bits), but))
+    sent = send(none)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left_out = _skipped(sent)
         for batch in batches:
-            yield batch.filter(pa.array(_suspect(batch.column(0), sent.value)))
+            yield batch.filter(pa.array(_suspect(batch.column(0), left_out)))
 
-    parts: list[tuple[DataFrame, tuple | None]] = [(texts, None)]
+    parts: list[tuple[DataFrame, Broadcast | None]] = [(texts, None)]
     if bits.any():
         mistaken = written(ids.mapInArrow(named, "doc bigint").join(copies.select("doc"), "doc", "left_anti").distinct(), "mistaken")
         if mistaken.count() <= EXCEPTIONS:
-            parts = [(texts, (bits, np.array(sorted(r[0] for r in mistaken.collect()), dtype=np.int64)))]
+            parts = [(texts, send(np.array(sorted(r[0] for r in mistaken.collect()), dtype=np.int64)))]
         else:  # very many: their texts go a way of their own
-            parts = [(texts, (bits, none)), (texts.join(mistaken.withColumnRenamed("doc", "__d"), "__d", "left_semi"), None)]
+            parts = [(texts, sent), (texts.join(mistaken.withColumnRenamed("doc", "__d"), "__d", "left_semi"), None)]
     bits = sketch(parts, span, reach, width, rows)
     out = None
     for df, left_out in parts:
