@@ -67,6 +67,14 @@ def abstract_text(xml: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("(no abstract)")).otherwise(text)
 
 
+def fnv32(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of a text's bytes (UTF-8), with the public algorithm's offset and prime; null for null."""
+    code = F.hex(F.encode(text, "UTF-8"))
+    places = F.when(F.length(code) > 0, F.sequence(F.lit(1), F.length(code) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    step = lambda h, i: (h.bitwiseXOR(F.conv(F.substr(code, i, F.lit(2)), 16, 10).cast("bigint")) * 16777619) % 4294967296
+    return F.when(text.isNotNull(), F.aggregate(places, F.lit(2166136261).cast("bigint"), step))
+
+
 def search_terms(typed: Column) -> Column:
     """The words of a typed query: parted by white space, apostrophes, plus signs and backslashes."""
     return F.filter(F.split(typed, r"[\s'+\\]+"), lambda t: t != "")

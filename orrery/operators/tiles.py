@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,18 +75,20 @@ def _touched(centre: Column, half: Column, low: Column, width: Column, divs: Col
     return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
 
 
-def tile_members(positions: DataFrame, pyramid: DataFrame) -> DataFrame:
+def tile_members(positions: DataFrame, pyramid: DataFrame, widened: bool = True) -> DataFrame:
     """(depth, xi, yi) of every tile with the rows of positions that its drawing must consider.
 
     A tile's box, its middle and half size cut to whole numbers, widened by the greatest radius and by the circle's own, edges included.
     Each circle names the few tiles it may touch (an explode over the pyramid's at most eight levels, which are broadcast); nothing is
-    shuffled until tiles are grouped.
+    shuffled until tiles are grouped. Without ``widened`` a tile has only what leaves a mark in it, that is circles whose own radius, or a pixel, reaches it: the
+    drawing is the same, and one great circle doesn't multiply the tiles of all others.
     """
     rows = positions.join(F.broadcast(pyramid))
     half = F.floor(F.col("tw") / 2)
-    reach = half + F.col("maxr") + F.col("r")
+    own = F.col("maxr") + F.col("r") if widened else F.greatest(F.col("r"), F.ceil(F.col("tw") / TILE_PIXELS)) + 1
+    reach = half + own
     for c, n in (("x", "xi"), ("y", "yi")):
-        rows = rows.withColumn(n, F.explode(_touched(F.col(c), F.col("maxr") + F.col("r"), F.col(f"min{c}"), F.col("tw"), F.col("divs"))))
+        rows = rows.withColumn(n, F.explode(_touched(F.col(c), own, F.col(f"min{c}"), F.col("tw"), F.col("divs"))))
         # The middle lies halfway into the tile and is cut towards zero.
         middle = (F.col(f"min{c}") + (F.col(n) - 0.5) * F.col("tw")).cast("bigint")
         rows = rows.where(F.abs(F.col(c) - middle) <= reach)
@@ -171,21 +178,21 @@ def points_to_papers(points: DataFrame, positions: DataFrame, cell: int = 512) -
 
 
 def rasterise(drawn: DataFrame, pixels: int = TILE_PIXELS) -> DataFrame:
-    """(depth, xi, yi, png): optional drawing of a draw list, a tile per group; a tile's circles are bounded by what fits the screen."""
-    import struct
-    import zlib
-
-    def draw(key: tuple, rows: "pandas.DataFrame"):
-        import numpy as np
-        import pandas as pd
-
+    """(depth, xi, yi, circles, png): the drawing of a draw list, a tile per group, the largest circles first; of the few tiles of the first
+    depths each holds a share of the whole map, which one task draws."""
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["pr", "id"], ascending=[False, True])
         image = np.zeros((pixels, pixels, 4), dtype=np.uint8)
-        gy, gx = np.mgrid[0:pixels, 0:pixels]
-        for px, py, pr, rgb in zip(rows["px"], rows["py"], rows["pr"], rows["colour"]):
-            image[(gx + 0.5 - px) ** 2 + (gy + 0.5 - py) ** 2 <= max(pr, 0.5) ** 2] = [*(int(255 * rgb[c]) for c in "rgb"), 255]
-        raw = b"".join(b"\0" + line.tobytes() for line in image)
+        for px, py, pr, rgb in zip(rows["px"], rows["py"], np.maximum(rows["pr"], 0.5), rows["colour"]):
+            # Only the pixels of the circle's own square are looked at.
+            x0, x1, y0, y1 = max(0, int(px - pr)), min(pixels, int(px + pr) + 2), max(0, int(py - pr)), min(pixels, int(py + pr) + 2)
+            if x0 < x1 and y0 < y1:
+                gy, gx = np.ogrid[y0:y1, x0:x1]
+                image[y0:y1, x0:x1][(gx + 0.5 - px) ** 2 + (gy + 0.5 - py) ** 2 <= pr**2] = [*(int(255 * rgb[c]) for c in "rgb"), 255]
+        # A line of the image begins with the number of its filter, none.
+        raw = np.concatenate((np.zeros((pixels, 1), dtype=np.uint8), image.reshape(pixels, -1)), axis=1).tobytes()
         chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", pixels, pixels, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-        return pd.DataFrame({"depth": [key[0]], "xi": [key[1]], "yi": [key[2]], "png": [png]})
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", pixels, pixels, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b"")
+        return pd.DataFrame({"depth": [key[0]], "xi": [key[1]], "yi": [key[2]], "circles": [len(rows)], "png": [png]})
 
-    return drawn.groupBy("depth", "xi", "yi").applyInPandas(draw, "depth int, xi int, yi int, png binary")
+    return drawn.groupBy("depth", "xi", "yi").applyInPandas(draw, "depth int, xi int, yi int, circles bigint, png binary")

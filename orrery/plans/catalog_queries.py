@@ -10,7 +10,7 @@ from orrery.operators import citations as C
 from orrery.plans.registry import Registry
 from orrery.sources.blobs import pack_links
 from orrery.sources.json_sources import merge_other_links
-from orrery.sources.tables import table
+from orrery.sources.tables import checked_count, table
 
 R = Registry()
 query = R.query
@@ -207,7 +207,8 @@ def positions_left_join(spark, folder):
 
 @query("select distinct id, x, y, r from map_data", prelude=False)
 def positions_scan(spark, folder):
-    return table(spark, folder, "map_data").distinct().orderBy("id")
+    rows = table(spark, folder, "map_data").distinct()
+    return checked_count(rows, table(spark, folder, "map_data", "id").distinct().count()).orderBy("id")
 
 
 @query("""select coalesce(a.src, b.pastid) as src, coalesce(a.dst, b.futureid) as dst, coalesce(a.freq, 0) as freq, coalesce(b.w, 0.0) as weight
@@ -269,6 +270,20 @@ def hashes(spark, folder):
     return C.papers(spark, folder, "title").where("title is not null").select("id", F.sha1("title").alias("s1"), F.sha2("title", 256).alias("s2"))
 
 
+@query("""select id, list_reduce(list_prepend(2166136261::bigint, list_transform(range(octet_length(encode(title))), lambda i: ('0x' || substr(hex(encode(title)), 2 * i + 1, 2))::bigint)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) as hash
+          from papers where title is not null""")
+def string_hashes(spark, folder):
+    return C.papers(spark, folder, "title").where("title is not null").select("id", labels.fnv32(F.col("title")).alias("hash"))
+
+
+@query(f""", o as (select e.dst as id, sum(exp(-pow(date_diff('day', {_DAY.format('e.src')}, {_ASOF}) / 365.0, 2) / 2)) / count(*) as heat from e group by e.dst) select id, round(heat / (select max(heat) from o), 6) as heat from o""")
+def citation_heat(spark, folder):
+    """How recent a paper's citations are: the mean over them of a bell curve of their age, by the greatest such mean."""
+    e = _edges(spark, folder).join(F.broadcast(_as_of(spark, folder)))
+    heat = e.groupBy(F.col("dst").alias("id")).agg(F.avg(F.exp(-F.pow(ids.days_ago(F.col("src"), F.col("asof")) / 365.0, 2) / 2)).alias("heat"))
+    return heat.join(F.broadcast(heat.agg(F.max("heat").alias("most")))).select("id", F.round(F.col("heat") / F.col("most"), 6).alias("heat"))
+
+
 @query(r"select id, strftime(day, '%-d %B %Y') as spoken from (select id, " + _DAY.format("id") + " as day from papers)")
 def spoken_dates(spark, folder):
     text = F.date_format(ids.id_date(F.col("id")), "yyyy-M-d")

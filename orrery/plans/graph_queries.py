@@ -246,6 +246,17 @@ def orient_by_paper(spark, folder):
     return _rounded(L.oriented(nodes, nodes.orderBy(F.desc("mass"), "id").limit(1).select("id"), 4.2))
 
 
+@query(_NODES + """, k as (select n.id, maincat as cat, x, y from nodes n join papers p on n.id = p.id), c as (select cat, count(*) as n, avg(x) as cx, avg(y) as cy from k group by cat),
+    f as (select id, x - cx as dx, y - cy as dy, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) as r, 0.1 * sqrt(n) as rest from k join c using (cat) where id not in (select src from e) and id not in (select dst from e))
+    select id, round(case when r > rest then -0.117 * (r - rest) / r * dx else 0 end, 4) + 0.0 as fx, round(case when r > rest then -0.117 * (r - rest) / r * dy else 0 end, 4) + 0.0 as fy from f""")
+def category_pull(spark, folder):
+    nodes = _layout_nodes(spark, folder).join(C.papers(spark, folder, "maincat").withColumnRenamed("maincat", "cat"), "id")
+    e = _edges(spark, folder)
+    alone = nodes.join(e.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_anti")
+    pull = L.category_pull(nodes, alone, L.category_centres(nodes), Forces())
+    return pull.select("id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("fx", "fy")])
+
+
 @query(_NODES + " select id, case when k = 1 then 12.5 else x end as x, case when k = 1 then -3.25 else y end as y from (select *, row_number() over (order by mass desc, id) as k from nodes)")
 def moved_node(spark, folder):
     """One node put elsewhere."""

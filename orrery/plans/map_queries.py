@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from orrery.functions import colours, labels, measures
 from orrery.functions.ids import days_ago
 from orrery.operators import citations as C
 from orrery.operators import tiles as T
+from orrery.plans import catalog_queries
 from orrery.plans.catalog_queries import _ASOF, _DAY, _as_of
 from orrery.plans.registry import Registry
+from orrery.session import shared_folder
+from orrery.sources import json_sources as J
 from orrery.sources.tables import table
 
 R = Registry()
@@ -103,7 +108,10 @@ def tile_membership(spark, folder):
     return _membership(spark, folder, 64)
 
 
-@query()
+@query(_TILES + """, mid as (select depth, n, cast(trunc(minx + (n - 0.5) * tw) as bigint) as mx, cast(trunc(miny + (n - 0.5) * tw) as bigint) as my, cast(floor(tw / 2) as bigint) as half, maxr
+                             from (select *, unnest(range(1, divs + 1)) as n from pyramid))
+    select a.depth, cast(a.n as int) as xi, cast(b.n as int) as yi, count(*) as papers, sum(pos.id % 1000003)::bigint as checksum
+    from pos join mid a on abs(pos.x - a.mx) <= a.half + a.maxr + pos.r join mid b on a.depth = b.depth and abs(pos.y - b.my) <= b.half + b.maxr + pos.r group by 1, 2, 3""")
 def tile_membership_whole(spark, folder):
     return _membership(spark, folder)
 
@@ -119,24 +127,72 @@ def zone_labels(spark, folder):
     return T.zone_labels(named, T.zone_pyramid(T.world_bounds(pos)), _category_labels(spark, folder))
 
 
-@query()
+def _regions(spark: SparkSession, folder: str) -> DataFrame:
+    """Regions, one for each category, by way of a regions file as a map's editor writes it."""
+    path = f"{shared_folder(spark)}/regions-{uuid.uuid4().hex}"
+    rows = _category_labels(spark, folder).select(F.col("x").alias("X"), F.col("y").alias("Y"), F.col("r").alias("Radius"), F.concat(F.lit("region "), "cat").alias("Label"))
+    rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)  # at most 255 rows
+    return J.read_regions(spark, path).withColumnRenamed("radius", "r")
+
+
+@query(_ZONES.replace("divs, cats, cast", "divs, depth in (2, 3) as regs, cast") + _CATLABELS + """, mid as (select z.depth, n, z.minx + (n - 1) * tw + tw // 2 as mx, z.miny + (n - 1) * tw + tw // 2 as my, tw // 2 as half, regs from (select *, unnest(range(1, divs + 1)) as n from zones) z)
+    select a.depth, cast(a.n as int) as xi, cast(b.n as int) as yi, x, y, r, 'region ' || cat as label from catlabels join mid a on a.regs and abs(x - a.mx) < a.half join mid b on a.depth = b.depth and abs(y - b.my) < b.half""")
+def region_labels(spark, folder):
+    """The region labels of every zone that shows them."""
+    pos = _positions(spark, folder)
+    none = pos.withColumn("label", F.lit("")).limit(0)
+    return T.zone_labels(none, T.zone_pyramid(T.world_bounds(pos)), None, _regions(spark, folder))
+
+
+@query(_ZONES.replace("divs, cats, cast", "divs, cats, depth in (2, 3) as regs, cast") + _CATLABELS + ", lab as (" + "select id, regexp_replace(case" + catalog_queries.ORACLES["paper_labels"].split("select id, regexp_replace(case", 1)[1] + """), named as (select pos.*, label from pos join lab on pos.id = lab.id where label <> ''),
+    mid as (select z.depth, n, scale, z.minx + (n - 1) * tw + tw // 2 as mx, z.miny + (n - 1) * tw + tw // 2 as my, tw // 2 as half, cast(floor(scale * 0.01) as bigint) as least, cats, regs from (select *, unnest(range(1, divs + 1)) as n from zones) z),
+    every as (select a.depth, a.scale, a.n as xi, b.n as yi, x, y, r, label from named join mid a on abs(x - a.mx) <= a.half + r and r > a.least join mid b on a.depth = b.depth and abs(y - b.my) <= b.half + r
+              union all select a.depth, a.scale, a.n, b.n, x, y, r, label from catlabels join mid a on a.cats and abs(x - a.mx) < a.half join mid b on a.depth = b.depth and abs(y - b.my) < b.half
+              union all select a.depth, a.scale, a.n, b.n, x, y, r, 'region ' || cat from catlabels join mid a on a.regs and abs(x - a.mx) < a.half join mid b on a.depth = b.depth and abs(y - b.my) < b.half),
+    item as (select depth, scale, xi, yi, r, '{"x":' || x || ',"y":' || y || ',"r":' || r || ',"lbl":' || to_json(label) || '}' as j from every)
+    select depth, cast(xi as int) as xi, cast(yi as int) as yi, 'lz_' || depth || '_' || xi || '_' || yi || '({"scale":' || scale || ',"lbls":[' || string_agg(j, ',' order by -r, j) || ']})' as json from item group by depth, scale, xi, yi""")
 def zone_label_files(spark, folder):
     pos = _positions(spark, folder)
     named = pos.join(C.papers(spark, folder, "authors", "keywords", "title"), "id")
     named = named.withColumn("label", labels.paper_label(F.col("authors"), F.col("keywords"), F.col("title")))
     zones = T.zone_pyramid(T.world_bounds(pos))
-    return T.zone_json(T.zone_labels(named, zones, _category_labels(spark, folder)), zones)
+    return T.zone_json(T.zone_labels(named, zones, _category_labels(spark, folder), _regions(spark, folder)), zones)
 
 
-@query()
-def tile_draw_list(spark, folder):
+_DRAWN = _TILES + _RGB.replace(_POS, "") + """, mid as (select depth, n, tw, minx, miny, cast(trunc(minx + (n - 0.5) * tw) as bigint) as mx, cast(trunc(miny + (n - 0.5) * tw) as bigint) as my, cast(floor(tw / 2) as bigint) as half
+                             from (select *, unnest(range(1, divs + 1)) as n from pyramid)),
+    mark as (select a.depth, cast(a.n as int) as xi, cast(b.n as int) as yi, pos.id, (pos.x - a.minx - (a.n - 1) * a.tw) * 256.0 / a.tw as px, (pos.y - a.miny - (b.n - 1) * a.tw) * 256.0 / a.tw as py, greatest(pos.r * 256.0 / a.tw, 0.09) as pr
+             from pos join mid a on abs(pos.x - a.mx) <= a.half + greatest(pos.r, ceil(a.tw / 256.0)) + 1 join mid b on a.depth = b.depth and abs(pos.y - b.my) <= b.half + greatest(pos.r, ceil(a.tw / 256.0)) + 1)"""
+
+
+def _draw_list(spark: SparkSession, folder: str) -> DataFrame:
     rows = _coloured(spark, folder)
     pyramid = T.tile_pyramid(T.world_bounds(_positions(spark, folder)))
     paint = rows.withColumn("rgb", colours.category_colour(F.col("col"), F.col("dim"), F.col("age"))).select("id", "x", "y", "r", "rgb")
-    return T.draw_list(T.tile_members(paint, pyramid), pyramid, F.col("rgb"))
+    return T.draw_list(T.tile_members(paint, pyramid, widened=False), pyramid, F.col("rgb"))
+
+
+@query(_DRAWN + " select depth, xi, yi, mark.id, round(px, 4) + 0.0 as px, round(py, 4) + 0.0 as py, round(pr, 4) as pr, round(rgb.r, 5) as red, round(rgb.g, 5) as green, round(rgb.b, 5) as blue from mark join rgb on mark.id = rgb.id")
+def tile_draw_list(spark, folder):
+    """All depths of the pyramid."""
+    at = lambda c: (F.round(c, 4) + 0.0).alias(c)
+    return _draw_list(spark, folder).select("depth", "xi", "yi", "id", at("px"), at("py"), F.round("pr", 4).alias("pr"), *[F.round(f"colour.{c}", 5).alias(n) for c, n in zip("rgb", ("red", "green", "blue"))])
+
+
+@query(_DRAWN + " select depth, xi, yi, count(*) as circles, true as drawn from mark join rgb on mark.id = rgb.id group by 1, 2, 3")
+def tile_images(spark, folder):
+    """The tiles as PNG images, all depths: how many circles each draws, and whether it is an image."""
+    images = T.rasterise(_draw_list(spark, folder))
+    return images.select("depth", "xi", "yi", "circles", (F.hex(F.substring("png", 1, 8)) == "89504E470D0A1A0A").alias("drawn"))
 
 
-@query()
+@query(_BOUNDS + """, i as (select b.*, (select max(id) from papers) as latestid from bounds b),
+    t as (select string_agg('{"z":' || depth || ',"tw":' || tw || ',"th":' || tw || ',"nx":' || divs || ',"ny":' || divs || '}', ',' order by depth) as s
+          from (select depth, divs, cast(floor(greatest((maxx - minx) / divs, (maxy - miny) / divs)) as bigint) as tw from bounds, (values (0, 4), (1, 8), (2, 16), (3, 32), (4, 64), (5, 128), (6, 256)) v(depth, divs))),
+    z as (select string_agg('{"z":' || depth || ',"s":' || scale || ',"w":' || tw || ',"h":' || tw || ',"nx":' || divs || ',"ny":' || divs || '}', ',' order by depth) as s
+          from (select depth, divs, cast(floor(greatest(maxx - minx, maxy - miny) / divs) as bigint) as tw, cast(floor(greatest(maxx - minx, maxy - miny) / sdivs) as bigint) as scale
+                from bounds, (values (0, 1, 1), (1, 1, 2), (2, 1, 4), (3, 1, 8), (4, 2, 16), (5, 4, 32), (6, 8, 64), (7, 16, 128), (8, 32, 256)) v(depth, divs, sdivs)))
+    select '{"latestid":' || latestid || ',"xmin":' || minx || ',"ymin":' || miny || ',"xmax":' || maxx || ',"ymax":' || maxy || ',"tilings":[' || t.s || '],"zones":[' || z.s || ']}' as json from i, t, z""")
 def world_index(spark, folder):
     bounds = T.world_bounds(_positions(spark, folder))
     latest = C.papers(spark, folder).agg(F.max("id").alias("latestid"))

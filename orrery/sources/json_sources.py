@@ -44,9 +44,10 @@ def write_layout_links(links: DataFrame, path: str) -> None:
     rows.select(text.alias("value")).write.mode("overwrite").text(path)
 
 
-def read_references(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Papers (id, allcats) and references (src, dst, freq) of ``[{"id", "allcats", "refs": [[dst, freq], ...]}, ...]``."""
-    rows = spark.read.schema("id bigint, allcats string, refs array<array<bigint>>").json(path, multiLine=True)
+def read_references(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Papers (id, allcats) and references (src, dst, freq) of ``[{"id", "allcats", "refs": [[dst, freq], ...]}, ...]``; with ``lines`` of
+    objects one to a line, whose files are split among tasks."""
+    rows = spark.read.schema("id bigint, allcats string, refs array<array<bigint>>").json(path, multiLine=not lines)
     refs = rows.select(F.col("id").alias("src"), F.explode("refs").alias("v")).where(F.size("v") >= 1)
     return rows.select("id", "allcats"), refs.select("src", F.col("v")[0].alias("dst"), F.coalesce(F.get("v", F.lit(1)), F.lit(1)).alias("freq"))
 

@@ -12,6 +12,13 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def checked_count(rows: DataFrame, expected: int) -> DataFrame:
+    """The rows, or an error when they are read if there aren't as many as expected."""
+    n = rows.agg(F.count(F.lit(1)).alias("__n"))
+    text = F.concat(F.lit(f"expected {expected} rows, found "), F.col("__n").cast("string"))
+    return rows.join(F.broadcast(n)).where(F.when(F.col("__n") == expected, F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))).drop("__n")
+
+
 def current_rows(meta: DataFrame, *columns: str, key: str = "id", version: str = "loadedat", first: str | None = None) -> DataFrame:
     """One row per ``key``: that with the greatest ``version``, with ``columns`` of it.
 
