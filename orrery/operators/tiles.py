@@ -195,4 +195,6 @@ def rasterise(drawn: DataFrame, pixels: int = TILE_PIXELS) -> DataFrame:
         png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", pixels, pixels, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b"")
         return pd.DataFrame({"depth": [key[0]], "xi": [key[1]], "yi": [key[2]], "circles": [len(rows)], "png": [png]})
 
-    return drawn.groupBy("depth", "xi", "yi").applyInPandas(draw, "depth int, xi int, yi int, circles bigint, png binary")
+    # Rows are few for the work that they make, so the number of parts isn't left to their size.
+    parts = max(64, int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return drawn.repartition(parts, "depth", "xi", "yi").groupBy("depth", "xi", "yi").applyInPandas(draw, "depth int, xi int, yi int, circles bigint, png binary")
