@@ -169,9 +169,11 @@ def parsed(names: DataFrame, share: float = SHARE) -> DataFrame:
         for batch in batches:
             rows = []
             for v in batch.column(0).to_pylist():
-                found = {folded(t) for t in _TOKEN.findall(_plain(v)) if len(t) > 1}
-                if len(found) > 1:
-                    rows += [(v, t) for t in sorted(found)]
+                plain = _plain(v)
+                found = [t for t in _TOKEN.findall(plain) if len(t) > 1]
+                # Where a comma tells the surname, only short tokens in capitals may be initials or names.
+                if len(found) > 1 and "," not in plain or any(len(t) <= 3 and t.isupper() for t in found):
+                    rows += [(v, t) for t in sorted({folded(t) for t in found})]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["val", "token"])
 
     each = names.select("val").mapInArrow(tokens, "val string, token string")
@@ -214,13 +216,15 @@ def similar_tokens(tokens: DataFrame, token: str, block: list[str], q: int = Q,
     frequency = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(Window.partitionBy(*block, "t").orderBy("df", "gram"))
     # The number of distinct q-grams of a language is bounded by its letters, whatever the number of tokens.
-    prefix = each.join(frequency, "gram").withColumn("rank", rank).where(F.col("rank") <= changed + 1).select(*block, "gram", "t", F.length("t").alias("len"))
-    key = [*block, "gram", "len"]
-    sizes = prefix.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("pieces"))
-    a = prefix.select(*block, "gram", F.col("t").alias("t1"), F.explode(F.sequence(F.col("len") - errors, F.col("len") + errors)).alias("len")).join(sizes, key)
-    a = a.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-    b = prefix.withColumnRenamed("t", "t2").join(sizes, key).withColumn("piece", F.pmod(F.xxhash64("t2"), F.col("pieces")).cast("int")).drop("pieces")
-    met = a.join(b, [*key, "piece"]).where(F.col("t1") <= F.col("t2")).select(*block, "t1", "t2").distinct()
+    prefix = each.join(frequency, "gram").withColumn("rank", rank).where(F.col("rank") <= changed + 1)
+    pieces = F.ceil(F.col("df") / cell).cast("int")
+    prefix = prefix.select(*block, "gram", "t", F.length("t").alias("len"), "rank", pieces.alias("pieces"))
+    # The shorter of two, or the first of two equally long ones, meets the other in one of its pieces, and itself once.
+    short = prefix.select(*block, "gram", F.col("t").alias("t1"), F.col("len").alias("l1"), F.col("rank").alias("r1"), "pieces")
+    short = short.withColumn("len", F.explode(F.sequence(F.col("l1"), F.col("l1") + errors))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    other = prefix.withColumnsRenamed({"t": "t2", "rank": "r2"}).withColumn("piece", F.pmod(F.xxhash64("t2"), F.col("pieces")).cast("int")).drop("pieces")
+    fits = (F.col("l1") < F.col("len")) | (F.col("t1") < F.col("t2")) | ((F.col("t1") == F.col("t2")) & (F.col("r1") == 1) & (F.col("r2") == 1))
+    met = short.join(other, [*block, "gram", "len", "piece"]).where(fits).select(*block, F.least("t1", "t2").alias("t1"), F.greatest("t1", "t2").alias("t2")).distinct()
     g1, g2 = _grams(F.col("t1"), q), _grams(F.col("t2"), q)
     return met.where((F.col("t1") == F.col("t2")) | (F.size(F.array_intersect(g1, g2)) >= F.greatest(F.size(g1), F.size(g2)) - changed))
 
@@ -299,7 +303,8 @@ def name_clusters(values: DataFrame, value: str, alike: float = ALIKE) -> DataFr
     person_ = F.struct(full.alias("given"), F.when(F.col("middle") != "", F.col("middle")).alias("middle"))
     nodes = rows.groupBy("kind", "initial", F.col("rare").alias("token")).agg(F.sum("uses").alias("uses"), F.collect_set(person_).alias("people"))
     nodes = written(nodes.withColumn("people", _people(F.col("people"))), "nodes")
-    pairs = similar_tokens(nodes, "token", ["kind", "initial"])
+    met = written(similar_tokens(nodes, "token", ["kind", "initial"]), "met")
+    pairs = met.where("t1 <> t2")
     for k in ("1", "2"):
         side = nodes.select("kind", "initial", F.col("token").alias(f"t{k}"), F.col("uses").alias(f"u{k}"), F.col("people").alias(f"p{k}"))
         pairs = pairs.join(side, ["kind", "initial", f"t{k}"])
@@ -307,7 +312,7 @@ def name_clusters(values: DataFrame, value: str, alike: float = ALIKE) -> DataFr
     initials = nodes.groupBy("kind", "initial").agg(F.sum("uses").alias("initial_uses"))
     rarity = lambda n: F.log(F.lit(1.0) + F.col("all_uses") / n)
     w_rare, w_given, w_middle = rarity(F.greatest("u1", "u2")), rarity(F.col("initial_uses")), F.lit(MIDDLE_WEIGHT)
-    s_rare = F.when(F.col("t1") == F.col("t2"), 1.0).when(one_error(F.col("t1"), F.col("t2")), 1 - 1 / F.greatest(F.length("t1"), F.length("t2"))).otherwise(0.0)
+    s_rare = F.when(one_error(F.col("t1"), F.col("t2")), 1 - 1 / F.greatest(F.length("t1"), F.length("t2"))).otherwise(0.0)
 
     def likeness(a: Column, b: Column) -> Column:
         """The soft similarity of two people: what their tokens' likeness, from -1 for contradiction to 1, comes to by weight; a middle initial counts where
@@ -317,18 +322,19 @@ def name_clusters(values: DataFrame, value: str, alike: float = ALIKE) -> DataFr
         both = (a["middle"].isNotNull() & b["middle"].isNotNull()).cast("double")
         return (w_rare * s_rare + w_given * s_given + both * w_middle * s_middle) / (w_rare + w_given + both * w_middle)
 
-    # A node goes with itself whoever its people are: these are told apart below.
-    best = F.when(F.col("t1") == F.col("t2"), 1.0).otherwise(F.array_max(F.transform("p1", lambda a: F.array_max(F.transform("p2", lambda b: likeness(a, b))))))
+    best = F.array_max(F.transform("p1", lambda a: F.array_max(F.transform("p2", lambda b: likeness(a, b)))))
     verified = written(pairs.join(F.broadcast(total)).join(initials, ["kind", "initial"]).where(best >= alike).select("kind", "initial", "t1", "t2"), "verified")
-    roots = _stars(nodes, verified.where("t1 <> t2"), ["kind", "initial"])
-    own = verified.where("t1 = t2").select("kind", "initial", F.col("t1").alias("rare"))
+    roots = _stars(nodes, verified, ["kind", "initial"])
+    # A token that met itself is the same in all its spellings, whoever the people are: these are told apart below.
+    own = met.where("t1 = t2").select("kind", "initial", F.col("t1").alias("rare"))
     roots = own.join(roots.withColumnsRenamed({"token": "rare", "head": "root"}), ["kind", "initial", "rare"], "left").withColumn("root", F.coalesce("root", "rare"))
     rows = written(rows.join(roots, ["kind", "initial", "rare"]).drop("rare"), "rooted")
 
     # Contradicting given names within a surname and initial.
     person = ["kind", "root", "initial"]
     givens = rows.where(F.length("given") > 1).groupBy(*person, F.col("given").alias("token")).agg(F.sum("uses").alias("uses"))
-    typed = similar_tokens(givens, "token", person, errors=2).where((F.col("t1") < F.col("t2")) & (F.levenshtein("t1", "t2") <= 2))
+    several = givens.groupBy(*person).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    typed = similar_tokens(givens.join(several, person, "left_semi"), "token", person, errors=2).where((F.col("t1") < F.col("t2")) & (F.levenshtein("t1", "t2") <= 2))
     forms = _stars(givens, typed, person).withColumnsRenamed({"token": "given", "head": "form"})
     rows = rows.join(forms, [*person, "given"], "left").withColumn("given", F.when(F.length("given") > 1, F.coalesce("form", "given")).otherwise("")).drop("form")
 
