@@ -91,14 +91,28 @@ def valid_categories(typed: str) -> list[str] | None:
     return parts if all(len(p) >= 2 and all(c == "-" or (c.isalpha() and c.islower()) for c in p) for p in parts) else None
 
 
+#: What identifiers and public codes may look like.
+_ID, _CODE = "0|[0-9]{10}", r"[A-Za-z0-9./\-]+"
+
+
+def valid_id_column(typed: Column) -> Column:
+    """``valid_id`` of a column."""
+    return typed.rlike(f"^(?:{_ID})$")
+
+
+def valid_code_column(typed: Column) -> Column:
+    """``valid_code`` of a column."""
+    return typed.rlike(f"^(?:{_CODE})$")
+
+
 def valid_id(typed: str) -> bool:
     """``0`` or ten digits."""
-    return re.fullmatch(r"0|[0-9]{10}", typed) is not None
+    return re.fullmatch(_ID, typed) is not None
 
 
 def valid_code(typed: str) -> bool:
     """Characters that a paper's public code may hold."""
-    return re.fullmatch(r"[A-Za-z0-9./\-]+", typed) is not None
+    return re.fullmatch(_CODE, typed) is not None
 
 
 def valid_suffix(typed: str) -> bool:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import ids, labels, measures
 from orrery.operators import citations as C
 from orrery.plans.registry import Registry
+from orrery.sources import synthetic
 from orrery.sources.blobs import pack_links
 from orrery.sources.json_sources import merge_other_links
 from orrery.sources.tables import checked_count, table
@@ -307,6 +308,18 @@ def query_terms(spark, folder):
     return C.papers(spark, folder, "title").where("title is not null").select("id", labels.search_terms(F.col("title")).alias("terms"))
 
 
+@query(r"""select id, array_to_string(list_transform(list_filter(regexp_split_to_array(title, '[\s''+\\]+'), lambda x: x <> ''), lambda x: ' +"' || x || '"'), '') as required from papers where title is not null""")
+def required_terms(spark, folder):
+    return C.papers(spark, folder, "title").where("title is not null").select("id", labels.required_terms(F.col("title"), True).alias("required"))
+
+
+@query("select id, (length(arxiv) > 0 and regexp_full_match(arxiv, '[A-Za-z0-9./\\-]+')) as code, regexp_full_match(id::varchar, '0|[0-9]{10}') as number from papers where arxiv is not null")
+def valid_inputs(spark, folder):
+    """Which public codes and identifiers would be taken from a request."""
+    rows = C.papers(spark, folder, "arxiv").where("arxiv is not null")
+    return rows.select("id", labels.valid_code_column(F.col("arxiv")).alias("code"), labels.valid_id_column(F.col("id").cast("string")).alias("number"))
+
+
 @query("select maincat, count(*) as n, max(id) as best from (select maincat, p.id, cites, row_number() over (partition by maincat order by cites desc, p.id) as k from papers p join cites c on p.id = c.id) where k = 1 group by maincat")
 def best_per_category(spark, folder):
     rows = C.papers(spark, folder, "maincat").join(C.citation_counts(_edges(spark, folder), C.papers(spark, folder)), "id")
@@ -328,6 +341,12 @@ def sliding_id_windows(spark, folder):
     return C.papers(spark, folder).select("id", F.explode(begins).alias("windowstart")).groupBy("windowstart").agg(F.count("id").alias("papers"))
 
 
+@query("select 1 + i as id, round(case when i = 0 then 0.2 + 0.1 * 99 else 0.2 end, 6)::double as mass, case when i = 0 then 99 else 0 end as cites from range(100) t(i)", prelude=False)
+def synthetic_star(spark, folder):
+    papers, links = synthetic.star(spark, 100)
+    return C.citation_counts(links, papers).join(papers, "id").select("id", F.round("mass", 6).alias("mass"), "cites")
+
+
 @query("select id, cites from cites order by cites desc, id limit 25")
 def most_cited(spark, folder):
     return C.citation_counts(_edges(spark, folder), C.papers(spark, folder)).orderBy(F.desc("cites"), "id").limit(25)

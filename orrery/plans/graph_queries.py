@@ -151,6 +151,17 @@ def link_force(spark, folder):
     return L.link_forces(nodes, links, Forces()).select("id", (F.round("fx", 3) + 0.0).alias("fx"), (F.round("fy", 3) + 0.0).alias("fy"))
 
 
+@query(_LINKS + _NODES + """, f as (select a.id as s, b.id as d, a.x - b.x as dx, a.y - b.y as dy, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as r, 1.5 * (a.radius + b.radius) as rest, 1.17 * 0.65 * weight as k
+              from links1 l join nodes a on l.src = a.id join nodes b on l.dst = b.id),
+    g as (select s as id, -dx * k * (r - rest) / r as fx, -dy * k * (r - rest) / r as fy from f where r > 0.01 union all select d, dx * k * (r - rest) / r, dy * k * (r - rest) / r from f where r > 0.01),
+    t as (select id, sqrt(pow(sum(fx), 2) + pow(sum(fy), 2)) as f from g group by id) select round(max(f), 3) as most, round(sum(f), 1) as energy, count(*) as nodes from t""")
+def link_force_extremes(spark, folder):
+    """The greatest link force and the sum of all."""
+    nodes, links = _layout(spark, folder)
+    f = F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy"))
+    return L.link_forces(nodes, links, Forces()).agg(F.round(F.max(f), 3).alias("most"), F.round(F.sum(f), 1).alias("energy"), F.count(F.lit(1)).alias("nodes"))
+
+
 @query(_NODES + _LINKS + " select (select count(*) from nodes) as nodes, (select count(*) from links1 where src in (select id from nodes) and dst in (select id from nodes)) as links, (select round(cast(sum(mass) as double), 3) from nodes) as mass")
 def layout_summary(spark, folder):
     return L.summary(*_layout(spark, folder)).select("nodes", "links", F.round("mass", 3).alias("mass"))

@@ -224,6 +224,14 @@ def point_lookup(spark, folder):
     return T.at_point(_positions(spark, folder), -15783, -13454).select("id", F.col("r").cast("bigint").alias("r"))
 
 
+@query(_POS + ", n as (select id, x, y, r from pos order by r desc, id limit 1) select pos.id, pos.r from pos, n where sqrt(pow(pos.x - n.x - n.r + 1, 2) + pow(pos.y - n.y, 2)) - pos.r < 0 order by pos.id limit 1")
+def node_at_point(spark, folder):
+    """The node whose disc holds a point strictly: one just inside the rim of the largest."""
+    pos = _positions(spark, folder)
+    x, y, r = pos.orderBy(F.desc("r"), "id").select("x", "y", "r").first()
+    return T.at_point(pos, x + r - 1, y, edge=False).select("id", F.col("r").cast("bigint").alias("r"))
+
+
 @query(_POS + " select a.id as point, min(b.id) as id from (select id, x + 10 as x, y - 10 as y from pos) a join pos b on abs(a.x - b.x) <= b.r and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= pow(b.r, 2) group by a.id")
 def points_lookup(spark, folder):
     pos = _positions(spark, folder)
