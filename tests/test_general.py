@@ -30,10 +30,10 @@ def test_salted_distinct_count(spark):
     for k, v in rows:
         if k is not None:
             want.setdefault(k, set()).update([] if v is None else [v])
-    for salts in (1, 64):
+    for salts in (1, 64, None):
         got = {r["k"]: r["n"] for r in salted_distinct_count(df, "k", "v", "n", salts=salts, share=0.05).collect()}
         assert got == {k: len(v) for k, v in want.items()}
-    assert {r[0] for r in heavy_keys(df, "k", 0.05).collect()} == {7}
+    assert [(r[0], r["__parts"]) for r in heavy_keys(df, "k", 0.05).collect()] == [(7, 12)]
     assert salted_distinct_count(df.limit(0), "k", "v", "n").count() == 0
 
 
@@ -47,7 +47,7 @@ def test_citing_all(spark, tmp_path):
 
 def test_salted_aggregate(spark):
     df = spark.createDataFrame([(1, k, k % 3) for k in range(100)] + [(2, 5, 1), (None, 4, 2), (None, None, 2)], "k int, __v int, v int")
-    got = salted_aggregate(df, "k", {"s": F.sum("__v"), "c": F.count(F.lit(1))}, {"s": F.sum("s"), "c": F.sum("c")}, salts=8, share=0.3)
+    got = salted_aggregate(df, "k", {"s": F.sum("__v"), "c": F.count(F.lit(1))}, {"s": F.sum("s"), "c": F.sum("c")}, share=0.3)
     assert rows_of(got) == rows_of(df.groupBy("k").agg(F.sum("__v").alias("s"), F.count(F.lit(1)).alias("c")))
 
 
