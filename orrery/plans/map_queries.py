@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from orrery.operators import tiles as T
 from orrery.plans import catalog_queries
 from orrery.plans.catalog_queries import _ASOF, _DAY, _as_of
 from orrery.plans.registry import Registry
-from orrery.session import shared_folder
+from orrery.session import scratch
 from orrery.sources import json_sources as J
 from orrery.sources.tables import table
 
@@ -129,7 +127,7 @@ def zone_labels(spark, folder):
 
 def _regions(spark: SparkSession, folder: str) -> DataFrame:
     """Regions, one for each category, by way of a regions file as a map's editor writes it."""
-    path = f"{shared_folder(spark)}/regions-{uuid.uuid4().hex}"
+    path = scratch(spark, "regions")
     rows = _category_labels(spark, folder).select(F.col("x").alias("X"), F.col("y").alias("Y"), F.col("r").alias("Radius"), F.concat(F.lit("region "), "cat").alias("Label"))
     rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)  # at most 255 rows
     return J.read_regions(spark, path).withColumnRenamed("radius", "r")

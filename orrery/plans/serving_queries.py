@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from orrery.operators import user_state as U
 from orrery.plans import dispatch
 from orrery.plans.catalog_queries import _edges
 from orrery.plans.registry import Registry
-from orrery.session import shared_folder, written
+from orrery.session import scratch, written
 from orrery.sources.tables import table
 
 R = Registry()
@@ -319,7 +317,7 @@ def text_index(spark, folder):
 def ranked_search(spark, folder):
     """Natural-language search by relevance, in an index that is stored and of which only the parts of the typed words are read."""
     rows = C.papers(spark, folder, "authors", "keywords")
-    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     X.write_index(X.postings(rows, ["authors", "keywords"]), path)
     out = X.ranked(X.read_index(spark, path), "Spin, vortex Henry", C.papers(spark, folder).count())
     return out.select("id", F.round("relevance", 6).alias("relevance"), "o")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from orrery.operators import layout as L
 from orrery.plans.catalog_queries import _DICT, _edges
 from orrery.plans.graph_queries import _LINKS
 from orrery.plans.registry import Registry
-from orrery.session import shared_folder
+from orrery.session import scratch
 from orrery.sources import json_sources as J
 from orrery.sources.tables import table
 
@@ -21,7 +19,7 @@ query = R.query
 
 
 def _path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 @query("select distinct id, x, y, r from map_data", prelude=False)

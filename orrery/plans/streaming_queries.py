@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from orrery.plans.registry import Registry
-from orrery.session import shared_folder
+from orrery.session import scratch
 from orrery.streaming.increments import citations_by_day, monthly, run_to_end, table_stream, upsert_batches, upserted, windowed_counts
 
 #: More files than a table has.
@@ -32,7 +30,7 @@ def stream_citations_by_month(spark, folder):
 @query("select id, nullif(max({'r': trendrun, 'l': loadedat, 's': coalesce(score, -1), 'n': coalesce(numcites, -1)})['n'], -1) as numcites from trending where loadedat is not null group by id", prelude=False)
 def stream_latest_scores(spark, folder):
     """The last known number of citations of every trending paper, kept up by a stream of upserts."""
-    path = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
+    path = scratch(spark, "latest")
     rows = table_stream(spark, folder, "trending", ALL).where("loadedat is not null")
     rows = rows.select("id", F.struct("trendrun", "loadedat", F.coalesce("score", F.lit(-1)).alias("s"), F.coalesce("numcites", F.lit(-1)).alias("n")).alias("version"), "numcites")
     upsert_batches(rows, path, ["id"], "version").awaitTermination()

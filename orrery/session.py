@@ -60,12 +60,17 @@ def _own_folder(application: str, folder: str) -> str:
     return path
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in this application's part of the shared folder."""
+    return f"{_own_folder(spark.sparkContext.applicationId, shared_folder(spark))}/{tag}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
     Unlike cached blocks the files survive the loss of an executor, and their size is known to the planner.
     """
-    path = f"{_own_folder(df.sparkSession.sparkContext.applicationId, shared_folder(df.sparkSession))}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._orrery_path = path

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.session import shared_folder
+from orrery.session import scratch
 
 #: Parts of a table that is kept up by ``upsert_batches``; a batch rewrites those that its keys fall into.
 PARTS = 64
@@ -49,7 +48,7 @@ def run_to_end(stream: DataFrame, name: str, key: list[str]) -> DataFrame:
     a batch run again after a failure replaces; nothing comes to the driver.
     """
     spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, f"stream-{name}")
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
