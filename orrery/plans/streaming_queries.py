@@ -34,7 +34,7 @@ def stream_latest_scores(spark, folder):
     rows = table_stream(spark, folder, "trending", ALL).where("loadedat is not null")
     rows = rows.select("id", F.struct("trendrun", "loadedat", F.coalesce("score", F.lit(-1)).alias("s"), F.coalesce("numcites", F.lit(-1)).alias("n")).alias("version"), "numcites")
     upsert_batches(rows, path, ["id"], "version").awaitTermination()
-    return upserted(spark, path).select("id", "numcites")
+    return upserted(spark, path, rows.schema).select("id", "numcites")
 
 
 QUERIES, ORACLES = R.queries, R.oracles

@@ -55,6 +55,9 @@ def run_to_end(stream: DataFrame, name: str, key: list[str]) -> DataFrame:
 
     query = stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    fs, target = _files(spark, f"{path}/rows")
+    if not fs.exists(target):  # there was nothing to read
+        return spark.createDataFrame([], stream.schema)
     values = [c for c in stream.columns if c not in key]
     kept = spark.read.schema(f"{', '.join(f'`{c}` {k}' for c, k in stream.dtypes)}, batch int").parquet(f"{path}/rows")
     return kept.groupBy(*key).agg(F.max(F.struct("batch", *values)).alias("__b")).select(*key, *[F.col(f"__b.{c}") for c in values])
@@ -65,10 +68,12 @@ def _files(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def upserted(spark: SparkSession, path: str) -> DataFrame:
-    """The table that ``upsert_batches`` keeps at a path, as of its last batch."""
+def upserted(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table of a schema that ``upsert_batches`` keeps at a path, as of its last batch; no rows if there has been none."""
     parts = _manifest(spark, path, None)
-    return spark.read.option("basePath", path).parquet(*[f"{path}/v={v}/part={p}" for p, v in sorted(parts.items())]).drop("v", "part")
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.option("basePath", path).parquet(*[f"{path}/orrery_batch={v}/orrery_part={p}" for p, v in sorted(parts.items())]).drop("orrery_batch", "orrery_part")
 
 
 def _manifest(spark: SparkSession, path: str, before: int | None) -> dict[int, int]:
@@ -92,21 +97,21 @@ def upsert_batches(stream: DataFrame, path: str, key: list[str], version: str, p
 
     def merge(batch: DataFrame, number: int) -> None:
         before = _manifest(spark, path, number)
-        rows = batch.withColumn("part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
+        rows = batch.withColumn("orrery_part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
         rows = rows.persist()
-        touched = sorted(r[0] for r in rows.select("part").distinct().collect())
-        old = [f"{path}/v={before[p]}/part={p}" for p in touched if p in before]
+        touched = sorted(r[0] for r in rows.select("orrery_part").distinct().collect())
+        old = [f"{path}/orrery_batch={before[p]}/orrery_part={p}" for p in touched if p in before]
         names = [c for c in batch.columns if c not in key and c != version]
         both = rows.unionByName(spark.read.option("basePath", path).parquet(*old).select(*rows.columns)) if old else rows
-        best = both.groupBy("part", *key).agg(F.max(F.struct(version, *names)).alias("__b")).select("part", *key, "__b.*")
-        best.select(*batch.columns, "part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/v={number}")
+        best = both.groupBy("orrery_part", *key).agg(F.max(F.struct(version, *names)).alias("__b")).select("orrery_part", *key, "__b.*")
+        best.select(*batch.columns, "orrery_part").write.mode("overwrite").partitionBy("orrery_part").parquet(f"{path}/orrery_batch={number}")
         rows.unpersist()
         now = before | {p: number for p in touched}
         spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/lists/{number}")
         earlier = _manifest(spark, path, number - 1) if number else {}
         for p, v in earlier.items():
             if before[p] != v:
-                fs, target = _files(spark, f"{path}/v={v}/part={p}")
+                fs, target = _files(spark, f"{path}/orrery_batch={v}/orrery_part={p}")
                 fs.delete(target, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()

@@ -20,9 +20,9 @@ def test_upsert_batches(spark, tmp_path):
     rows = [(k % 4, k, f"v{k}") for k in range(10)]
     query = upsert_batches(stream_of(spark, tmp_path, rows, "id bigint, version bigint, v string"), str(tmp_path / "out"), ["id"], "version", parts=3)
     query.awaitTermination()
-    assert rows_of(upserted(spark, str(tmp_path / "out"))) == [(0, "v8", 8), (1, "v9", 9), (2, "v6", 6), (3, "v7", 7)]
+    assert rows_of(upserted(spark, str(tmp_path / "out"), "id bigint, version bigint, v string")) == [(0, "v8", 8), (1, "v9", 9), (2, "v6", 6), (3, "v7", 7)]
     # What no list names any more is gone; the parts of the last two lists are there.
-    assert len(list((tmp_path / "out").glob("v=*/part=*"))) <= 2 * 3
+    assert len(list((tmp_path / "out").glob("orrery_batch=*/orrery_part=*"))) <= 2 * 3
 
 
 def test_links_by_month(spark, tmp_path):
@@ -37,3 +37,10 @@ def test_whole_table(spark):
     out = run_to_end(citations_by_day(table_stream(spark, SF, "links")), "links_all", ["day"])
     want = spark.read.parquet(f"{SF}/links.parquet").where("seenat is not null").select("linkid", "seenat").distinct().count()
     assert out.agg(F.sum("links")).first()[0] == want
+
+
+def test_nothing_to_read(spark, tmp_path):
+    spark.createDataFrame([], "linkid bigint, seenat timestamp_ntz").write.parquet(f"{tmp_path}/t.parquet")
+    days = run_to_end(citations_by_day(table_stream(spark, str(tmp_path), "t")), "nothing", ["day"])
+    assert monthly(days).count() == 0
+    assert upserted(spark, str(tmp_path / "none"), "id bigint").count() == 0
