@@ -62,21 +62,21 @@ def unpacked(text: Column, packing: Packing) -> Column:
     commas may part, so an empty or blank
     text gives an empty array.
     """
-    enclosed = _enclosed(packing)
+    enclosed, strongly = _enclosed(packing), _enclosed(Packing(packing.strong))
     held = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "2")), F.lit(MARK), F.lit(ESCAPE + "1"))
     text = F.when(text.rlike(f"[{MARK}{ESCAPE}]"), held).otherwise(text)
 
     def whole(x: Column) -> Column:
         return F.when(F.contains(x, F.lit(ESCAPE)), F.replace(F.replace(x, F.lit(ESCAPE + "1"), F.lit(MARK)), F.lit(ESCAPE + "2"), F.lit(ESCAPE))).otherwise(x)
 
-    def cut(sep: str) -> Column:
-        return F.split(F.regexp_replace(text, F.lit(f"({enclosed})|(?:{sep})"), F.lit(f"$1{MARK}")), MARK)
+    def cut(kept: str, sep: str) -> Column:
+        return F.split(F.regexp_replace(text, F.lit(f"({kept})|(?:{sep})"), F.lit(f"$1{MARK}")), MARK)
 
     strong = f"[{packing.strong}]"
-    parts = cut(strong)
+    parts = cut(strongly, strong)
     if packing.weak:
         has_strong = F.regexp_replace(text, F.lit(enclosed), F.lit("")).rlike(strong)
-        parts = F.when(has_strong, parts).otherwise(cut(packing.weak))
+        parts = F.when(has_strong, parts).otherwise(cut(enclosed, packing.weak))
 
     def trimmed(x: Column) -> Column:
         return F.regexp_replace(x, F.lit(r"^\s++|(?<!\s)\s++$"), F.lit(""))

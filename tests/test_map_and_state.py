@@ -60,21 +60,22 @@ def test_whole_pyramid(spark, small_map):
     folder, pos = small_map
     maxr = max(r for *_, r in pos)
     minx, maxx, miny, maxy = (f(0, f(p[k] + s * p[3] for p in pos)) + s * 100 for k, f, s in ((1, min, -1), (1, max, 1), (2, min, -1), (2, max, 1)))
-    want = {}
+    want, marks = {}, {}
     for depth, divs in enumerate((4, 8, 16, 32, 64, 128, 256)):
         tw = int(max((maxx - minx) / divs, (maxy - miny) / divs))
-        near = lambda c, low, r: [n for n in range(1, divs + 1) if abs(c - int(low + (n - 0.5) * tw)) <= tw // 2 + maxr + r]  # noqa: E731, B023
+        near = lambda c, low, reach: [n for n in range(1, divs + 1) if abs(c - int(low + (n - 0.5) * tw)) <= tw // 2 + reach]  # noqa: E731, B023
         for i, x, y, r in pos:
-            for xi in near(x, minx, r):
-                for yi in near(y, miny, r):
-                    want.setdefault((depth, xi, yi), set()).add(i)
+            for found, reach in ((want, maxr + r), (marks, max(r, -(-tw // 256)) + 1)):
+                for xi in near(x, minx, reach):
+                    for yi in near(y, miny, reach):
+                        found.setdefault((depth, xi, yi), set()).add(i)
     got = map_queries.tile_membership_whole(spark, folder).collect()
     assert {(t["depth"], t["xi"], t["yi"]): (t["papers"], t["checksum"]) for t in got} == {t: (len(ids), sum(i % 1000003 for i in ids)) for t, ids in want.items()}
     drawn = {}
     for t in map_queries.tile_draw_list(spark, folder).select("depth", "xi", "yi", "id").collect():
         drawn.setdefault(tuple(t)[:3], set()).add(t["id"])
     known = {i for i, *_ in pos[:38]}
-    assert drawn == {t: ids & known for t, ids in want.items() if ids & known}
+    assert drawn == {t: ids & known for t, ids in marks.items() if ids & known}
 
 
 def test_labels_zones_and_png(spark):
